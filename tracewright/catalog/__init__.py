@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans"]
+AREAS = ["scans", "runblocks"]
 
 
 def all_queries():
