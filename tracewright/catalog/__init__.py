@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks"]
+AREAS = ["scans", "runblocks", "lifecycles"]
 
 
 def all_queries():

@@ -210,3 +210,39 @@ def ranked(df: DataFrame, keys: Iterable[str], order: list[str], name: str, chun
     """0-based dense position inside a group whose order column is not dense."""
     out = running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, chunk=chunk)
     return out.withColumn(name, F.col(name) - 1)
+
+
+def bracket_levels(df: DataFrame, keys: Iterable[str], delta: str, pos: str = "t") -> DataFrame:
+    """Stack depth of open (+1) and close (-1) events; a close on an empty stack is ignored.
+
+    Adds ``level``: for an open the depth it creates, for a close the depth it
+    removes, null for an ignored close. An open and the close that pops it have
+    the same level and are neighbours among the events of that level. Needs the
+    running sum and the running minimum of that sum, both carried across chunks.
+    """
+    keys = list(keys)
+    d = df.withColumn("__c", chunk_of(df, pos))
+    w = Window.partitionBy(*keys, "__c").orderBy(pos)
+    d = d.withColumn("__s", F.sum(delta).over(w.rowsBetween(FIRST, 0)))
+    d = d.withColumn("__m", F.min("__s").over(w.rowsBetween(FIRST, -1)))
+    wc = Window.partitionBy(*keys).orderBy("__c").rowsBetween(FIRST, -1)
+    tot = d.groupBy(*keys, "__c").agg(F.sum(delta).alias("__tot"), F.min("__s").alias("__low"))
+    tot = tot.withColumn("__s0", F.sum("__tot").over(wc)).withColumn("__low", F.coalesce("__s0", F.lit(0)) + F.col("__low"))
+    tot = tot.withColumn("__m0", F.min("__low").over(wc)).filter(F.col("__s0").isNotNull()).select(
+        *keys, "__c", "__s0", "__m0")
+    j = d.join(tot, [*keys, "__c"], "left")
+    s0 = F.coalesce("__s0", F.lit(0))
+    s = s0 + F.col("__s")
+    before = s - F.col(delta)
+    floor = F.least(F.lit(0), F.col("__m0"), s0 + F.col("__m"))
+    depth = before - floor
+    level = F.when(F.col(delta) > 0, depth + 1).when(depth > 0, depth)
+    return j.select(*df.columns, level.cast("long").alias("level"))
+
+
+def chain_lengths(df: DataFrame, keys: Iterable[str], cond: Column, name: str, pos: str = "t") -> DataFrame:
+    """How many rows in a row (in ``pos`` order, positions may have gaps) ``cond`` has held."""
+    one = F.lit(1).cast("long")
+    idx = running(df.withColumn("__cond", cond), keys, [pos], {"__i": ("sum", one)}, pos=pos)
+    out = running(idx, keys, [pos], {"__b": ("max", F.when(~F.col("__cond"), F.col("__i")))}, pos=pos)
+    return out.select(*df.columns, (F.col("__i") - F.coalesce("__b", F.lit(0))).alias(name))

@@ -59,6 +59,13 @@ class Traces:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._built: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A derived table that several operators read: built and written on first use."""
+        if name not in self._built:
+            self._built[name] = written(build(self), name)
+        return self._built[name]
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> "Traces":
