@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits"]
 
 
 def all_queries():
