@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles", "waits"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns"]
 
 
 def all_queries():
