@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate"]
 
 
 def all_queries():

@@ -163,5 +163,10 @@ pred AS (
 probs AS (
   SELECT run_id, t, c, CAST(1 + (t * 7 + c * 3 + run_id) % 11 AS DOUBLE)
          / sum(1 + (t * 7 + c * 3 + run_id) % 11) OVER (PARTITION BY run_id, t) AS p
-  FROM (SELECT run_id, t, unnest(range(7)) AS c FROM msg0))
+  FROM (SELECT run_id, t, unnest(range(7)) AS c FROM msg0)),
+lw AS (SELECT run_id, c, 1 + (run_id * 3 + c * 5) % 13 + CASE WHEN run_id % 7 = c AND run_id % 3 <> 0 THEN 8 ELSE 0 END AS wa,
+         1 + (run_id * 7 + c * 11) % 17 + CASE WHEN run_id % 7 = c AND run_id % 4 <> 1 THEN 10 ELSE 0 END AS wb
+       FROM (SELECT run_id, unnest(range(7)) AS c FROM runs)),
+label_probs AS (SELECT run_id, c, CAST(wa AS DOUBLE) / sum(wa) OVER (PARTITION BY run_id) AS pa,
+         CAST(wb AS DOUBLE) / sum(wb) OVER (PARTITION BY run_id) AS pb FROM lw)
 """

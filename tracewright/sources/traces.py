@@ -182,6 +182,20 @@ class Traces:
             "run_id", label.alias("label"), F.when(r % 9 == 0, 1 - F.col("success")).otherwise(F.col("success")).alias("success"),
             F.when(label == "clean", F.lit(-1)).otherwise(base + r % 4).cast("long").alias("fault_turn"))
 
+    @cached_property
+    def label_probs(self) -> DataFrame:
+        """Class probabilities of two label models A and B: one row per (run, class)."""
+        r, y = F.col("run_id"), F.array_position(F.array(*[F.lit(v) for v in LABELS]), F.col("label")) - 1
+
+        def weights(a: int, b: int, m: int, bonus: int, hit: Column) -> Column:
+            return F.array(*[1 + (r * a + c * b) % m + F.when((y == c) & hit, bonus).otherwise(0) for c in range(7)])
+
+        w = self.truth.select("run_id", weights(3, 5, 13, 8, r % 3 != 0).alias("wa"), weights(7, 11, 17, 10, r % 4 != 1).alias("wb"))
+        z = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x)
+        w = w.select("run_id", F.posexplode(F.arrays_zip("wa", "wb")).alias("c", "x"), z("wa").alias("za"), z("wb").alias("zb"))
+        return w.select("run_id", F.col("c").cast("long").alias("c"), (F.col("x.wa") / F.col("za")).alias("pa"),
+                        (F.col("x.wb") / F.col("zb")).alias("pb"))
+
     @cached_property
     def probs(self) -> DataFrame:
         """Window-class probabilities: one row per (run, turn, class)."""
