@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate", "stats"]
 
 
 def all_queries():

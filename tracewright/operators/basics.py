@@ -60,6 +60,10 @@ def slice_flags(tr: Traces) -> DataFrame:
         *[(F.col("topo_type") == v).alias(f"topo_{v}") for v in TOPOLOGY_TYPES])
 
 
+def slices(tr: Traces) -> DataFrame:
+    return tr.once("slices", slice_flags)
+
+
 def telemetry_flags(tr: Traces) -> DataFrame:
     m = tr.messages
     return m.groupBy("run_id").agg(

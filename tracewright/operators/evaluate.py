@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.fixed import LABELS, WEIGHTS
 from tracewright.functions.numbers import count_where, flag, ratio
-from tracewright.operators.basics import slice_flags
+from tracewright.operators.basics import slices
 from tracewright.operators.localize import argmax, label_name, predicted_peak
 from tracewright.plans.scan import percentiles
 from tracewright.sources.traces import Traces
@@ -81,7 +81,7 @@ def binary_f1(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def composite(tr: Traces, df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Four scores and their weighted sum."""
-    rob = slice_flags(tr).filter("robust").select("run_id")
+    rob = slices(tr).filter("robust").select("run_id")
     ks = list(keys) or ["_"]
     one = df if keys else df.withColumn("_", F.lit(0))
     parts = [macro_f1(one, ks), macro_f1(one.join(rob, "run_id", "left_semi"), ks).withColumnRenamed("macro_f1", "robustness_f1"),
@@ -176,7 +176,7 @@ def candidate_bounds(tr: Traces) -> DataFrame:
 # ---- slices, shares, changes ----------------------------------------------------------
 def sliced(tr: Traces, df: DataFrame, names: list[str]) -> DataFrame:
     """One row per (run, slice it belongs to)."""
-    s = slice_flags(tr)
+    s = slices(tr)
     return df.join(s, "run_id").select(*df.columns, F.explode(F.filter(F.array(*[
         F.when(F.col(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())).alias("slice"))
 
