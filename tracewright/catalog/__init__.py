@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate", "stats"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate", "stats", "documents"]
 
 
 def all_queries():
