@@ -1,17 +1,47 @@
-"""Model heads on Spark ML."""
+"""Model heads on Spark ML: label, success and window heads, out-of-fold stacking and the full job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.fixed import RADIUS
+from tracewright.fixed import FAULTS, LABELS, RADIUS
+from tracewright.operators import lifecycles as L
+from tracewright.operators import runfeatures as R
+from tracewright.operators.evaluate import macro_f1
+from tracewright.operators.localize import AGGREGATE_COLS, argmax, label_index, label_name, window_aggregates
+from tracewright.operators.resample import stratified_folds
+from tracewright.operators.turns import CAUSAL_COLS, WINDOW_COLS, causal_turns, turn_windows
+from tracewright.operators.waits import wait_block
 from tracewright.sources.traces import Traces
 
 # Training weights of background and fault windows.
 BACKGROUND_WEIGHT = 0.25
 FAULT_WEIGHT = 0.125
 
+Predict = Callable[[DataFrame], DataFrame]
+
+
+# ---- inputs ---------------------------------------------------------------------
+def foundation(tr: Traces) -> DataFrame:
+    """Run-level columns of the label head, built once."""
+    def build(t: Traces) -> DataFrame:
+        base = t.once("run_block", R.run_block)
+        return R.join_blocks(base, R.normalised(base), R.positions(t), L.lifecycle_block(t), L.deadlock_block(t), L.temporal_block(t), wait_block(t))
+    return tr.once("foundation", build)
+
+
+def success_columns(df: DataFrame) -> list[str]:
+    """The success head sees the run block, its ratios and positions, not the lifecycle blocks."""
+    return [c for c in df.columns if c != "run_id" and not c.startswith(("lc_", "dl_", "ua_", "bd_", "ra_", "rt_", "ld_", "wg_"))]
+
 
 def window_targets(tr: Traces) -> DataFrame:
     """Class of every turn: the run's fault inside two turns of its begin, else background."""
@@ -20,3 +50,215 @@ def window_targets(tr: Traces) -> DataFrame:
     return tr.plain_messages.select("run_id", "t").join(t, "run_id").select(
         "run_id", "t", F.when(near, F.col("label")).otherwise("background").alias("target"),
         F.when(near, FAULT_WEIGHT).otherwise(BACKGROUND_WEIGHT).alias("weight"))
+
+
+def windows(tr: Traces) -> DataFrame:
+    """Window columns with target index (0 = background) and weight, built once."""
+    def build(t: Traces) -> DataFrame:
+        y = window_targets(t).withColumn("y", F.coalesce(F.nullif(label_index(F.col("target")), F.lit(-1)), F.lit(0)).cast("double"))
+        return turn_windows(t).join(y.select("run_id", "t", "y", "weight"), ["run_id", "t"])
+    return tr.once("windows", build)
+
+
+def _assembled(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
+    clean = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    return VectorAssembler(inputCols=cols, outputCol="features").transform(clean).select(*keep, "features")
+
+
+def _long(scored: DataFrame, keys: list[str]) -> DataFrame:
+    return scored.select(*keys, F.posexplode(vector_to_array("probability")).alias("c", "p")).withColumn("c", F.col("c").cast("long"))
+
+
+# ---- heads ------------------------------------------------------------------------
+def fit_forest(train: DataFrame, cols: list[str], keys: list[str], y: str = "y", weight: str | None = None, trees: int = 100, depth: int = 8,
+               classes: int | None = None) -> Predict:
+    """Random forest; returns a function from rows to (keys, c, p). ``classes`` pads classes the fit never saw."""
+    keep = [*keys, y] + ([weight] if weight else [])
+    rf = RandomForestClassifier(labelCol=y, numTrees=trees, maxDepth=depth, seed=42, subsamplingRate=0.9)
+    if weight:
+        rf = rf.setWeightCol(weight)
+    model = rf.fit(_assembled(train, cols, keep))
+
+    def predict(rows: DataFrame) -> DataFrame:
+        out = _long(model.transform(_assembled(rows, cols, keys)), keys)
+        if classes is None or model.numClasses >= classes:
+            return out
+        missing = F.explode(F.array(*[F.lit(i).cast("long") for i in range(model.numClasses, classes)]))
+        return out.unionByName(rows.select(*keys, missing.alias("c")).withColumn("p", F.lit(0.0)))
+
+    predict.model = model  # type: ignore[attr-defined]
+    return predict
+
+
+def fit_boosted(train: DataFrame, cols: list[str], keys: list[str], y: str = "y", rounds: int = 50, depth: int = 5) -> Predict:
+    """Gradient-boosted binary head."""
+    model = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=depth, seed=42, stepSize=0.1).fit(_assembled(train, cols, [*keys, y]))
+    return lambda rows: _long(model.transform(_assembled(rows, cols, keys)), keys)
+
+
+def label_rows(tr: Traces, features: DataFrame) -> DataFrame:
+    return features.join(tr.truth.select("run_id", "label", label_index(F.col("label")).cast("double").alias("y"), F.col("success").cast("double").alias("success")), "run_id")
+
+
+def out_of_fold(rows: DataFrame, folds: DataFrame, k: int, fit: Callable[[DataFrame], Predict]) -> DataFrame:
+    """Predictions for every row from a model that never saw its run. One fit per fold uses the whole cluster."""
+    f = folds.select("run_id", "fold")
+    parts = []
+    for i in range(k):
+        held = f.filter(F.col("fold") == i).select("run_id")
+        predict = fit(rows.join(held, "run_id", "left_anti"))
+        parts.append(predict(rows.join(held, "run_id", "left_semi")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def window_stack(tr: Traces, fit_ids: DataFrame, other_ids: DataFrame, inner: int, trees: int, depth: int, seed: int) -> DataFrame:
+    """51 window columns: for the fit runs out of fold (inner folds), for the other runs from a model on all fit runs."""
+    w = windows(tr)
+    sizes = tr.runs.select("run_id", "n")
+
+    def fit(rows: DataFrame) -> Predict:
+        return fit_forest(rows, WINDOW_COLS, ["run_id", "t"], weight="weight", trees=trees, depth=depth, classes=len(LABELS))
+
+    mine = w.join(fit_ids.select("run_id"), "run_id", "left_semi")
+    folds = stratified_folds(tr.truth.join(fit_ids.select("run_id"), "run_id", "left_semi"), inner, seed)
+    inside = out_of_fold(mine, folds, inner, fit)
+    outside = fit(mine)(w.join(other_ids.select("run_id"), "run_id", "left_semi"))
+    return window_aggregates(inside.unionByName(outside), sizes)
+
+
+def stacked_label_probabilities(tr: Traces, outer: int = 3, inner: int = 3, trees: int = 100, depth: int = 8, seed: int = 42) -> DataFrame:
+    """Label probabilities of every run, out of fold, with window columns that are out of fold too."""
+    base = foundation(tr)
+    folds = tr.once(f"folds{outer}", lambda t: stratified_folds(t.truth, outer, seed))
+    cols = [c for c in base.columns if c != "run_id"] + AGGREGATE_COLS
+    parts = []
+    for i in range(outer):
+        held = folds.filter(F.col("fold") == i).select("run_id")
+        keep = folds.filter(F.col("fold") != i).select("run_id")
+        x = label_rows(tr, base.join(window_stack(tr, keep, held, inner, trees, depth, seed + 1 + i), "run_id"))
+        predict = fit_forest(x.join(keep, "run_id", "left_semi"), cols, ["run_id"], trees=trees, depth=depth, classes=len(LABELS))
+        parts.append(predict(x.join(held, "run_id", "left_semi")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def wide_probabilities(p: DataFrame) -> tuple[DataFrame, list[str]]:
+    names = [f"lp_{c}" for c in LABELS]
+    return p.groupBy("run_id").agg(*[F.coalesce(F.max(F.when(F.col("c") == i, F.col("p"))), F.lit(0.0)).alias(n) for i, n in enumerate(names)]), names
+
+
+def decisions(p: DataFrame) -> DataFrame:
+    return p.groupBy("run_id").agg(label_name(argmax("p", "c")).alias("label"))
+
+
+def shipped_job(tr: Traces, train_ids: DataFrame, test_ids: DataFrame, trees: int = 100, depth: int = 8, inner: int = 3, rounds: int = 50) -> DataFrame:
+    """Train on one set of runs and answer for the other: label, success and fault turn.
+
+    Window head (inner cross-fit) -> window columns -> label head; label probabilities
+    out of fold -> success head; the turn is the window peak of the predicted class.
+    """
+    base = foundation(tr)
+    cols = [c for c in base.columns if c != "run_id"] + AGGREGATE_COLS
+    agg = tr.once("shipped_windows", lambda t: window_stack(t, train_ids, test_ids, inner, trees, depth, 7))
+    x = tr.once("shipped_rows", lambda t: label_rows(t, base.join(agg, "run_id")))
+    train, test = x.join(train_ids.select("run_id"), "run_id", "left_semi"), x.join(test_ids.select("run_id"), "run_id", "left_semi")
+
+    def fit(rows: DataFrame) -> Predict:
+        return fit_forest(rows, cols, ["run_id"], trees=trees, depth=depth, classes=len(LABELS))
+
+    p_test = fit(train)(test)
+    folds = stratified_folds(train.select("run_id", "label"), inner, 42)
+    p_train = out_of_fold(train, folds, inner, fit)
+    wide, names = wide_probabilities(p_train.unionByName(p_test))
+    s_cols = success_columns(base) + names
+    xs = x.join(wide, "run_id")
+    success = fit_boosted(xs.join(train_ids.select("run_id"), "run_id", "left_semi"), s_cols, ["run_id"], y="success", rounds=rounds)(
+        xs.join(test_ids.select("run_id"), "run_id", "left_semi"))
+    w = windows(tr)
+    head = fit_forest(w.join(train_ids.select("run_id"), "run_id", "left_semi"), WINDOW_COLS, ["run_id", "t"], weight="weight", trees=trees, depth=depth, classes=len(LABELS))
+    best = head(w.join(test_ids.select("run_id"), "run_id", "left_semi")).groupBy("run_id", "c").agg(argmax("p", "t").alias("peak"))
+    d = decisions(p_test).withColumn("c", label_index(F.col("label"))).join(best, ["run_id", "c"], "left")
+    s = success.groupBy("run_id").agg(argmax("p", "c").alias("success"))
+    turn = F.when(F.col("label") == "clean", F.lit(-1)).otherwise(F.coalesce("peak", F.lit(-1)))
+    return d.join(s, "run_id").select("run_id", "label", "success", turn.cast("long").alias("fault_turn"))
+
+
+def two_stage(train: DataFrame, test: DataFrame, cols: list[str], threshold: float, trees: int = 100, depth: int = 8, rounds: int = 50) -> DataFrame:
+    """Fault-or-not head first, then the kind of fault among the fault classes."""
+    gate = fit_boosted(train.withColumn("g", F.when(F.col("y") > 0, 1.0).otherwise(0.0)), cols, ["run_id"], y="g", rounds=rounds)(test)
+    kind = fit_forest(train.filter("y > 0").withColumn("k", F.col("y") - 1), cols, ["run_id"], y="k", trees=trees, depth=depth)(test)
+    g = gate.filter("c = 1").select("run_id", F.col("p").alias("fault"))
+    k = kind.groupBy("run_id").agg((argmax("p", "c") + 1).alias("kind"))
+    return g.join(k, "run_id").select("run_id", "fault", F.when(F.col("fault") >= threshold, label_name(F.col("kind"))).otherwise("clean").alias("label"))
+
+
+def turn_ranker(tr: Traces, folds: DataFrame, k: int, rounds: int = 20, depth: int = 4, classes: list[str] = FAULTS) -> DataFrame:
+    """Best turn per (run, class): one binary model per class on the causal turn table, out of fold."""
+    x = tr.once("causal_turns", causal_turns).join(tr.truth.select("run_id", "label", "fault_turn"), "run_id")
+    outs = []
+    for c in classes:
+        rows = x.withColumn("y", F.when((F.col("label") == c) & (F.col("t") == F.col("fault_turn")), 1.0).otherwise(0.0))
+        p = out_of_fold(rows, folds, k, lambda r: fit_boosted(r, CAUSAL_COLS, ["run_id", "t"], rounds=rounds, depth=depth))
+        outs.append(p.filter("c = 1").groupBy("run_id").agg(argmax("p", "t").alias("t"), F.max("p").alias("p")).withColumn("label", F.lit(c)))
+    return reduce(DataFrame.unionByName, outs)
+
+
+def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """TF-IDF rows (key, term, weight) as sparse vectors. The vocabulary is bounded, so its index is one small table."""
+    vocab = weights.select("term").distinct().withColumn("i", F.row_number().over(Window.partitionBy().orderBy("term")) - 1)
+    size = vocab.count()
+    rows = weights.join(F.broadcast(vocab), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
+    to_vector = F.udf(lambda x: Vectors.sparse(size, [e["i"] for e in x], [e["weight"] for e in x]), VectorUDT())
+    return rows.select(key, to_vector("x").alias("features")), size
+
+
+def text_classifier(weights: DataFrame, labels: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+    """Multinomial logistic regression on sparse text vectors; (key, c, p). labels: key, y."""
+    v, _ = sparse_rows(weights, key)
+    train = v.join(labels, key)
+    model = LogisticRegression(family="multinomial", labelCol="y", maxIter=rounds, regParam=0.01).fit(train)
+    return _long(model.transform(v), [key])
+
+
+def transfer_scores(tr: Traces, flags: DataFrame, names: list[str], cols: list[str], trees: int, depth: int) -> DataFrame:
+    """For each slice: fit outside it, score inside it."""
+    x = label_rows(tr, foundation(tr))
+    outs = []
+    for s in names:
+        inside = flags.filter(F.col(s)).select("run_id")
+        held = x.join(inside, "run_id", "left_semi")
+        p = decisions(fit_forest(x.join(inside, "run_id", "left_anti"), cols, ["run_id"], trees=trees, depth=depth)(held))
+        d = held.select("run_id", F.col("label").alias("y")).join(p.withColumnRenamed("label", "yp"), "run_id").withColumn("slice", F.lit(s))
+        n = d.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+        outs.append(n.join(macro_f1(d, ["slice"]), "slice"))
+    return reduce(DataFrame.unionByName, outs)
+
+
+def ablation(tr: Traces, blocks: dict[str, list[str]], k: int, trees: int, depth: int) -> DataFrame:
+    """Out-of-fold macro F1 with every block dropped in turn (and with nothing dropped)."""
+    x = label_rows(tr, foundation(tr))
+    folds = stratified_folds(tr.truth, k, 42)
+    every = [c for c in foundation(tr).columns if c != "run_id"]
+    outs = []
+    for name, drop in {"nothing": [], **blocks}.items():
+        cols = [c for c in every if c not in set(drop)]
+        p = decisions(out_of_fold(x, folds, k, lambda r, cols=cols: fit_forest(r, cols, ["run_id"], trees=trees, depth=depth)))
+        d = x.select("run_id", F.col("label").alias("y")).join(p.withColumnRenamed("label", "yp"), "run_id").withColumn("dropped", F.lit(name))
+        outs.append(macro_f1(d, ["dropped"]))
+    return reduce(DataFrame.unionByName, outs)
+
+
+def importance_by_group(tr: Traces, groups: dict[str, list[str]], trees: int, depth: int) -> DataFrame:
+    """Forest importances summed over feature groups (the importance vector has one number per column)."""
+    cols = [c for v in groups.values() for c in v]
+    model = fit_forest(label_rows(tr, foundation(tr)), cols, ["run_id"], trees=trees, depth=depth).model  # type: ignore[attr-defined]
+    imp = [float(x) for x in model.featureImportances.toArray()]
+    owner = {c: g for g, v in groups.items() for c in v}
+    rows = [(owner[c], c, x) for c, x in zip(cols, imp)]
+    t = tr.spark.createDataFrame(rows, "grp string, feature string, importance double")
+    return t.groupBy("grp").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
+
+
+def probability_rows_ok(p: DataFrame, classes: int) -> DataFrame:
+    """Per run: number of predictions and whether they are a distribution."""
+    ok: Column = (F.abs(F.sum("p") - 1) < 1e-6) & (F.min("p") >= 0)
+    return p.groupBy("run_id").agg(F.count(F.lit(1)).alias("classes"), ok.alias("valid")).withColumn("complete", F.col("classes") == classes)
