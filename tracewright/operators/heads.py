@@ -20,6 +20,7 @@ from tracewright.operators.localize import AGGREGATE_COLS, argmax, label_index,
 from tracewright.operators.resample import stratified_folds
 from tracewright.operators.turns import CAUSAL_COLS, WINDOW_COLS, causal_turns, turn_windows
 from tracewright.operators.waits import wait_block
+from tracewright.session import written
 from tracewright.sources.traces import Traces
 
 # Training weights of background and fault windows.
@@ -77,7 +78,7 @@ def fit_forest(train: DataFrame, cols: list[str], keys: list[str], y: str = "y",
     rf = RandomForestClassifier(labelCol=y, numTrees=trees, maxDepth=depth, seed=42, subsamplingRate=0.9)
     if weight:
         rf = rf.setWeightCol(weight)
-    model = rf.fit(_assembled(train, cols, keep))
+    model = rf.fit(written(_assembled(train, cols, keep), "train"))
 
     def predict(rows: DataFrame) -> DataFrame:
         out = _long(model.transform(_assembled(rows, cols, keys)), keys)
@@ -92,7 +93,9 @@ def fit_forest(train: DataFrame, cols: list[str], keys: list[str], y: str = "y",
 
 def fit_boosted(train: DataFrame, cols: list[str], keys: list[str], y: str = "y", rounds: int = 50, depth: int = 5) -> Predict:
     """Gradient-boosted binary head."""
-    model = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=depth, seed=42, stepSize=0.1).fit(_assembled(train, cols, [*keys, y]))
+    # the fit passes over its input several times: written once, read many times
+    rows = written(_assembled(train, cols, [*keys, y]), "train")
+    model = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=depth, seed=42, stepSize=0.1).fit(rows)
     return lambda rows: _long(model.transform(_assembled(rows, cols, keys)), keys)
 
 
@@ -135,7 +138,7 @@ def stacked_label_probabilities(tr: Traces, outer: int = 3, inner: int = 3, tree
     for i in range(outer):
         held = folds.filter(F.col("fold") == i).select("run_id")
         keep = folds.filter(F.col("fold") != i).select("run_id")
-        x = label_rows(tr, base.join(window_stack(tr, keep, held, inner, trees, depth, seed + 1 + i), "run_id"))
+        x = written(label_rows(tr, base.join(window_stack(tr, keep, held, inner, trees, depth, seed + 1 + i), "run_id")), "stacked")
         predict = fit_forest(x.join(keep, "run_id", "left_semi"), cols, ["run_id"], trees=trees, depth=depth, classes=len(LABELS))
         parts.append(predict(x.join(held, "run_id", "left_semi")))
     return reduce(DataFrame.unionByName, parts)
@@ -170,7 +173,7 @@ def shipped_job(tr: Traces, train_ids: DataFrame, test_ids: DataFrame, trees: in
     p_train = out_of_fold(train, folds, inner, fit)
     wide, names = wide_probabilities(p_train.unionByName(p_test))
     s_cols = success_columns(base) + names
-    xs = x.join(wide, "run_id")
+    xs = x.join(written(wide, "label_oof"), "run_id")
     success = fit_boosted(xs.join(train_ids.select("run_id"), "run_id", "left_semi"), s_cols, ["run_id"], y="success", rounds=rounds)(
         xs.join(test_ids.select("run_id"), "run_id", "left_semi"))
     w = windows(tr)
@@ -213,7 +216,7 @@ def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 def text_classifier(weights: DataFrame, labels: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """Multinomial logistic regression on sparse text vectors; (key, c, p). labels: key, y."""
-    v, _ = sparse_rows(weights, key)
+    v = written(sparse_rows(weights, key)[0], "text_vectors")
     train = v.join(labels, key)
     model = LogisticRegression(family="multinomial", labelCol="y", maxIter=rounds, regParam=0.01).fit(train)
     return _long(model.transform(v), [key])
