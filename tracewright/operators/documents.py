@@ -9,6 +9,7 @@ from tracewright.functions.numbers import count_where
 from tracewright.functions.text import normalise
 from tracewright.operators.runfeatures import condition_streaks, state_changes
 from tracewright.operators.turns import with_roles
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import chunk_of, framed
 from tracewright.sources.traces import Traces
 
@@ -32,9 +33,7 @@ def structure_words(tr: Traces) -> DataFrame:
     rep = framed(m.select("run_id", "t", "norm"), ["run_id"], 1, 0, lambda w: {"p": F.lag("norm").over(w)}).groupBy("run_id").agg(
         count_where((F.col("norm") != "") & (F.col("norm") == F.col("p"))).alias("rep"))
     zero = condition_streaks(m.select("run_id", "t", "goal_ov"), {"z": F.col("goal_ov") == 0}).groupBy("run_id").agg(F.max("z").alias("zero"))
-    j = tr.runs.select("run_id", (F.size("goal_words") > 0).alias("has_goal"))
-    for b in (a, dup, st, rep, zero):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id", (F.size("goal_words") > 0).alias("has_goal")), a, dup, st, rep, zero)
     on = lambda c: F.coalesce(c, F.lit(False))
     words = {"CONFLICT": on(F.col("clash")), "DEAD": on(F.col("flip")), "DRIFT": on(F.col("has_goal") & (F.col("zero") >= 2)), "DUP": on(F.col("dup")),
              "LOOP": on(F.col("rep") >= 2), "NOKEYWORD": on(F.col("never") > 0), "REASSIGN": on(F.col("restart")), "TIE": on(F.col("tie")),

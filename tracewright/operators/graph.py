@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.numbers import ratio
 from tracewright.operators.matching import pair_edges, reciprocal_pairs, triangles
+from tracewright.plans.gather import gather
 from tracewright.session import written
 from tracewright.sources.traces import Traces
 
@@ -119,10 +120,7 @@ def graph_block(tr: Traces) -> DataFrame:
     rec = reciprocal_pairs(e).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("g_two_cycles"), F.max(F.least("cnt_ab", "cnt_ba")).alias("pp"))
     nodes = run_nodes(tr).groupBy("run_id").agg(F.count(F.lit(1)).alias("g_nodes"))
-    j = per
-    for b in (out_deg, in_deg, rec, nodes, triangles(e), largest_scc(tr)):
-        j = j.join(b, "run_id", "left")
-    j = j.na.fill(0)
+    j = gather(per, out_deg, in_deg, rec, nodes, triangles(e), largest_scc(tr)).na.fill(0)
     gn, ge = F.col("g_nodes"), F.col("g_edges")
     pp = F.greatest(F.col("pp"), F.coalesce("own_max", F.lit(0)))
     return j.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.numbers import count_where, flag, ratio
 from tracewright.operators.graph import run_nodes, scc_members
 from tracewright.operators.matching import pair_edges, reciprocal_pairs
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import bracket_levels, chain_lengths, lookup, percentiles, running
 from tracewright.sources.traces import Traces
 
@@ -194,9 +195,7 @@ def lifecycle_block(tr: Traces) -> DataFrame:
     chain = chain_lengths(lc.select("run_id", "t", "delivered"), ["run_id"], ~F.col("delivered"), "c").groupBy(
         "run_id").agg(F.max("c").alias("chain"))
     team = tr.agents.groupBy("run_id").agg(_one().alias("ag"))
-    j = tr.runs.select("run_id").join(per, "run_id", "left")
-    for b in (by_intent, p90, chain, team):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id"), per, by_intent, p90, chain, team)
     n, k, u = F.col("n"), F.col("k"), F.col("u")
     z = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)).cast("double")
     vals = [k, F.col("d"), u, F.col("ua"), F.col("an"), ratio(u, k), ratio(u, n), ratio(u, "ag"), ratio(u, "ni"), F.col("u20"),
@@ -247,9 +246,7 @@ def deadlock_block(tr: Traces) -> DataFrame:
         count_where(F.col("no_result")).alias("snr"), _one().alias("s"), F.max("chain").alias("chain"))
     tot = lc.groupBy("run_id").agg(count_where(~F.col("delivered")).alias("u"))
     ag = nodes.groupBy("run_id").agg(_one().alias("ag"))
-    j = tr.runs.select("run_id", "n")
-    for b in (mutual, mu, inside, blind, st, tot, ag):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id", "n"), mutual, mu, inside, blind, st, tot, ag)
     end = last_turn()
     fm = F.col("first_mutual")
     vals = [F.col("mp"), ratio("mp", F.greatest(F.col("ag"), F.lit(1))), F.col("mu"), ratio(fm, end),
@@ -333,9 +330,7 @@ def temporal_block(tr: Traces) -> DataFrame:
     p90 = percentiles(lc.withColumn("age", age), ["run_id"], "age", {"age_p90": 0.9})
     peak = backlog(tr).filter("delta > 0").groupBy("run_id").agg(F.max("open").alias("peak"))
     late = late_results(tr).groupBy("run_id").agg(F.lit(1.0).alias("old_owner"))
-    j = tr.runs.select("run_id").join(per, "run_id", "left")
-    for b in (p90, peak, late):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id"), per, p90, peak, late)
     k, u = F.col("k"), F.col("u")
     b75, b100 = F.col("b75"), F.col("b100")
     said = F.col("oldest_said")

@@ -10,6 +10,7 @@ from tracewright.functions.numbers import count_where, flag
 from tracewright.operators.matching import first_replies, undelivered
 from tracewright.operators.runfeatures import longest_runs
 from tracewright.operators.turns import decaying_streak
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import framed, running
 from tracewright.sources.traces import Traces
 
@@ -139,11 +140,7 @@ def rule_turns(tr: Traces) -> DataFrame:
     agree = m.filter((F.col("type") == "state_update") & F.lower("text").contains("gree")).groupBy("run_id").agg(F.min("t").alias("agree"))
     loop = decaying_streak(tr).filter("level > 0").groupBy("run_id").agg(
         F.max_by("onset", F.struct(F.col("level"), -F.col("t"))).alias("loop"))
-    j = tr.runs.select("run_id", "n")
-    for b in (und, una, second, dup, agree, loop, longest_runs(tr).select("run_id", "status_start"),
-              hottest_key(tr).select("run_id", "first_override"), off_goal_start(tr),
-              most_common_intent(tr).select("run_id", F.col("first_t").alias("top_t"))):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id", "n"), und, una, second, dup, agree, loop, longest_runs(tr).select("run_id", "status_start"), hottest_key(tr).select("run_id", "first_override"), off_goal_start(tr), most_common_intent(tr).select("run_id", F.col("first_t").alias("top_t")))
     none = F.lit(-1)
     return j.select(
         "run_id", F.coalesce("und", "una", "a0", none).alias("dropped_handoff"),

@@ -10,6 +10,7 @@ from tracewright.functions.numbers import count_where, entropy_term, flag, ratio
 from tracewright.functions.text import keyword_count, occurrences
 from tracewright.operators.graph import graph_block
 from tracewright.operators.matching import first_replies, undelivered
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import framed, running
 from tracewright.sources.traces import Traces
 
@@ -26,11 +27,8 @@ def entropy_of(df: DataFrame, key: str) -> DataFrame:
 
 
 def join_blocks(base: DataFrame, *blocks: DataFrame) -> DataFrame:
-    """Left join of one-row-per-run blocks on run_id; missing numbers become 0."""
-    out = base
-    for b in blocks:
-        out = out.join(b, "run_id", "left")
-    return out.na.fill(0)
+    """``gather`` with missing numbers as 0."""
+    return gather(base, *blocks).na.fill(0)
 
 
 def volume(tr: Traces) -> DataFrame:
@@ -218,8 +216,7 @@ def state_block(tr: Traces) -> DataFrame:
         F.max(flag(F.col("failed"))).alias("status_failed"), F.min(flag(F.col("key") != "run_status")).alias("status_missing"))
     fl = state_changes(tr).groupBy("run_id").agg(count_where(F.col("flip")).alias("state_flips"),
                                                  count_where(F.col("alt_flip")).alias("state_alternating_flips"))
-    j = tr.runs.select("run_id").join(per, "run_id", "left").join(fl, "run_id", "left").na.fill(
-        1.0, ["status_missing"]).na.fill(0)
+    j = gather(tr.runs.select("run_id"), per, fl).na.fill(1.0, ["status_missing"]).na.fill(0)
     return j.withColumn("state_override_ratio", ratio("state_overrides", "k")).drop("k")
 
 
@@ -342,7 +339,7 @@ def positions(tr: Traces) -> DataFrame:
         F.min("t").alias("pos_first_state_write"), F.min(F.when(F.col("op") == "override", t)).alias("pos_first_override"),
         F.min(F.when(F.col("flip"), t)).alias("pos_first_conflict_flip"))
     gw = tr.runs.select("run_id", (F.size("goal_words") > 0).alias("has_goal"))
-    j = per.join(long, "run_id", "left").join(st, "run_id", "left").join(gw, "run_id")
+    j = gather(per, long, st, gw)
     j = j.withColumn("pos_goal_zero_run", F.when(F.col("has_goal"), F.col("pos_goal_zero_run")))
     last = F.greatest(F.col("n") - 1, F.lit(1))
     return j.select("run_id", *[ratio(p, last).alias(p) for p in POSITIONS])
@@ -356,4 +353,4 @@ def longest_runs(tr: Traces) -> DataFrame:
             "run_id", (-F.col("s.col1")).alias("status_len"), F.col("s.col2").alias("status_start"))
     rp = streaks(tr).groupBy("run_id").agg(F.min(F.struct(-F.col("streak"), F.col("start"))).alias("s")).select(
         "run_id", (-F.col("s.col1")).alias("repeat_len"), F.col("s.start").alias("repeat_start"))
-    return tr.runs.select("run_id").join(st, "run_id", "left").join(rp, "run_id", "left")
+    return gather(tr.runs.select("run_id"), st, rp)

@@ -10,6 +10,7 @@ from tracewright.functions.numbers import flag, ratio
 from tracewright.functions.text import keyword_count
 from tracewright.operators.matching import delivered_assignments, pair_edges, reciprocal_pairs
 from tracewright.operators.runfeatures import condition_streaks, state_changes, streaks
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import framed, lookup, running
 from tracewright.sources.traces import Traces
 
@@ -162,9 +163,7 @@ def run_context(tr: Traces) -> DataFrame:
         F.sum(F.col("c") - 1).alias("dup_hashes"))
     st = tr.state.groupBy("run_id").agg(_one().alias("n_state"), F.sum(flag(F.col("op") == "override")).alias("n_override"))
     mx = streaks(tr).groupBy("run_id").agg(F.max("streak").alias("max_streak"))
-    j = tr.runs.select("run_id")
-    for b in (per, it, ty, who, ag, ar, hs, st, mx):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id"), per, it, ty, who, ag, ar, hs, st, mx)
     return j.na.fill(0)
 
 

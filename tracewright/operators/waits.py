@@ -14,6 +14,7 @@ from tracewright.operators.basics import wait_events
 from tracewright.operators.lifecycles import open_counter  # noqa: F401  (re-exported for the catalog)
 from tracewright.operators.matching import pair_edges, reciprocal_pairs
 from tracewright.operators.runfeatures import state_changes
+from tracewright.plans.gather import gather
 from tracewright.plans.scan import lookup, percentiles, running
 from tracewright.sources.runs import event_log
 from tracewright.sources.traces import Traces
@@ -45,9 +46,7 @@ def wait_block(tr: Traces) -> DataFrame:
         _one().alias("rp"), F.min("onset").alias("onset"), F.max("cnt").alias("mx"), F.max_by("again", top).alias("again"),
         F.max_by(F.col("last_t") - F.col("first_t"), top).alias("span"))
     ag = pairs.select("run_id", F.explode(F.array("a", "b")).alias("x")).distinct().groupBy("run_id").agg(_one().alias("ag"))
-    j = tr.runs.select("run_id", "n")
-    for x in (per, pr, same, ag):
-        j = j.join(x, "run_id", "left")
+    j = gather(tr.runs.select("run_id", "n"), per, pr, same, ag)
     end = F.greatest(F.col("n") - 1, F.lit(1))
     vals = [F.col("e"), F.col("ue"), F.col("rp"), flag(F.col("rp") > 0), ratio("e", "n"), F.col("same"), flag(F.col("same") > 0),
             ratio("onset", end), F.col("mx"), F.col("again"), ratio("span", end), F.col("ag")]
@@ -290,9 +289,7 @@ def task_block(tr: Traces) -> DataFrame:
         (F.min("agent") != F.max("agent")).alias("m")).groupBy("run_id").agg(count_where(F.col("m")).alias("mk"))
     cw = ch.filter("cross_writer").groupBy("run_id").agg(
         _one().alias("cw"), count_where(F.col("op") == "override").alias("co"), count_where(F.col("flip")).alias("cv"))
-    j = tr.runs.select("run_id").join(ends, "run_id", "left")
-    for b in (per, p90, area, w, multi, cw):
-        j = j.join(b, "run_id", "left")
+    j = gather(tr.runs.select("run_id"), ends, per, p90, area, w, multi, cw)
     span = F.greatest(F.col("t1") - F.col("t0"), F.lit(1))
     k = F.col("k")
     vals = [k, F.col("u"), ratio("u", k), F.col("ur"), ratio("ur", "r"), F.col("uo"), ratio("uo", k), F.col("dm"), F.col("p90"), ratio("dx", span),
