@@ -1,5 +1,7 @@
 """Scans, sinks, projections, filters and scalar functions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewright.catalog.base import (KEYWORDS, TOPOLOGY_TYPES, register, sql_keyword, sql_norm, sql_ratio, sql_words)
@@ -18,7 +20,6 @@ def _csv(tr, gzip=False):
     """Export the traces once per session as run CSV (several rows per long run)."""
     key = (tr.spark.sparkContext.applicationId, tr.sf_dir, gzip)
     if key not in _FILES:
-        import uuid
         path = f"{shared_dir(tr.spark)}/{key[0]}/runs-{uuid.uuid4().hex[:8]}"
         R.write_csv(R.export_runs(tr), path, gzip)
         _FILES[key] = path
@@ -70,7 +71,7 @@ register("s7_event_log", "run_id,seq,t:l kind,src,actor,task:s", R.event_log,
 
 
 def _prediction_csv(tr):
-    path = f"{shared_dir(tr.spark)}/{tr.spark.sparkContext.applicationId}/predictions"
+    path = f"{shared_dir(tr.spark)}/{tr.spark.sparkContext.applicationId}/predictions-{uuid.uuid4().hex[:8]}"
     R.write_csv(tr.pred, path)
     return tr.spark.read.schema("run_id string, label string, success int, fault_turn int").option(
         "header", True).csv(path)
@@ -86,7 +87,7 @@ register("s9_constant_answer", "run_id,label:s success,fault_turn:l", lambda tr:
 
 
 def _report(tr):
-    path = f"{shared_dir(tr.spark)}/{tr.spark.sparkContext.applicationId}/report"
+    path = f"{shared_dir(tr.spark)}/{tr.spark.sparkContext.applicationId}/report-{uuid.uuid4().hex[:8]}"
     tr.pred.groupBy("label").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
     return tr.spark.read.schema("label string, n bigint").json(path)
 
