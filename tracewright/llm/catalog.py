@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import simhash
+from tracewright.llm import decontam, linededup, simhash
 from tracewright.llm.common import table
 
 
@@ -14,8 +15,36 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup,
+    op1_simhash_near_dedup, op7_line_dedup, op9_decontamination,
 )}
 
-ORACLES: dict[str, str] = {}
+#: Outer white space of a line: what ``bytes.strip`` takes off.
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(parts))) AS pos, trim(unnest(parts), {_BLANK}) AS line FROM parts),
+filled AS (SELECT * FROM lines WHERE line <> ''),
+windows AS (
+  SELECT doc_id, pos, lead(pos, 2) OVER w AS upto, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS passage
+  FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS nth FROM windows WHERE upto IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, upto + 1)) AS pos FROM ranked WHERE nth > 1),
+dropped AS (SELECT doc_id, list(pos) AS ats, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN n IS NULL THEN text
+            ELSE array_to_string([parts[i + 1] FOR i IN range(len(parts)) IF NOT list_contains(ats, i)], chr(10)) END AS text
+FROM parts LEFT JOIN dropped USING (doc_id)
+""",
+}
