@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid, linededup, simhash
+from tracewright.llm import decontam, langid, linededup, pieces, simhash
 from tracewright.llm.common import table
 
 
@@ -15,6 +16,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encode(table(spark, sf_dir, "documents"), model, n=3)
+    same = pieces.decoding(F.col("ids"), model) == F.replace("text", F.lit(pieces.MARK), F.lit(" "))
+    return out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), "score",
+                      F.array_join(F.col("nbest.score").cast("array<string>"), ",").alias("nbest_scores"),
+                      F.lower(F.hex(F.xxhash64("ids"))).alias("ids_hash"), same.alias("round_trip"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -30,7 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op3_language_id, op7_line_dedup, op9_decontamination,
+    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op7_line_dedup, op9_decontamination,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.
