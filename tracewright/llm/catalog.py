@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid, linededup, pieces, simhash
+from tracewright.llm import decontam, langid, linededup, pieces, simhash, warc
 from tracewright.llm.common import table
 
 
@@ -30,6 +30,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages)
+    rows = warc.read_archives(archives, ["page", "type", "refers_to", "last", "payload_bytes", "payload_digest"]).filter("last")
+    number = dict(pages.dtypes)["page_id"]
+    return rows.select(F.when(F.col("page") != "null", F.col("page")).cast(number).alias("page_id"), "payload_bytes", "payload_digest",
+                       F.col("type").alias("record_type"), F.col("refers_to").cast(number).alias("refers_to"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
@@ -40,7 +49,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op7_line_dedup, op9_decontamination,
+    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op7_line_dedup, op9_decontamination,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.

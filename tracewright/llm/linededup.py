@@ -54,7 +54,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     found = written(found, "windows")
     repeated = found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     repeated = written(repeated, "repeated")
-    later = found.join(repeated, ["h1", "h2"]).filter(_place() > F.col("first"))
+    later = found.join(repeated.hint("merge"), ["h1", "h2"]).filter(_place() > F.col("first"))
     return later.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "to")).alias("spans"))
 
 
@@ -81,11 +81,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       only between two lines of a removed window. Texts of fewer than three filled lines stay as they are.
     * The first occurrence by (id, hash of the text, line) stays; a null id comes first. Rows that repeat id and text are
       one document and get the same result. A null text stays null, with 0 lines. An empty table gives no rows.
+    * Joins are sort-merge joins at every size: spans grow with the documents, so no size lets them be broadcast.
     * A document made of nothing but later occurrences gets an empty text; it is not dropped here.
     """
     whole = keyed(docs, id_col, text_col)
     spans = written(covered(docs, id_col, text_col, size), "spans")
-    both = whole.join(spans, same_key(whole, spans), "left").select("row", "spans")
+    both = whole.join(spans.hint("merge"), same_key(whole, spans), "left").select("row", "spans")
     text = F.col("row").getField(text_col)
     cut = F.arrow_udf(_without, "struct<text:string,removed:bigint>")(F.when(F.col("spans").isNotNull(), text), F.col("spans"))
     done = both.select("row", cut.alias("cut"))

@@ -240,5 +240,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = components(links(prints.select("fp"), radius))
     group = prints.join(labels, prints["fp"] == labels["node"], "left").select(F.coalesce("label", "fp").alias("group"), "first")
     stay = written(group.groupBy("group").agg(F.min("first").alias("first")).select("first.k1", "first.k2").distinct(), "stay")
-    kept = whole.join(stay, same_key(whole, stay), "left_semi").dropDuplicates(["k1", "k2"])
+    kept = whole.join(stay.hint("merge"), same_key(whole, stay), "left_semi").dropDuplicates(["k1", "k2"])
     return unpack(kept, docs)
