@@ -17,6 +17,7 @@ parallel prefix scan does.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -45,6 +46,8 @@ class Vocabulary:
     end: str
     #: Inside of a character class: what newer tables than the library's call a letter or number.
     newer: str
+    #: Lower case of letters that the interpreter's tables do not know.
+    lower: dict[int, str]
 
 
 def load(path: str) -> Vocabulary:
@@ -56,12 +59,24 @@ def load(path: str) -> Vocabulary:
         raise ValueError("this kind of tokenizer is not known here")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     return Vocabulary(list(model["vocab"]), {m: i for i, m in enumerate(merges)}, [t["content"] for t in spec["added_tokens"]],
-                      split["pattern"]["Regex"], model["end_of_word_suffix"] or "", _newer())
+                      split["pattern"]["Regex"], model["end_of_word_suffix"] or "", *_newer(path))
 
 
-def _newer() -> str:
-    """Letters and numbers of the pattern library that the interpreter's own, older tables do not assign yet."""
-    return "".join(map(regex.escape, regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"))))
+def _newer(path: str) -> tuple[str, dict[int, str]]:
+    """Letters and numbers of the pattern module that the tokenizer library, with older tables, takes for neither.
+
+    As ranges of a character class; and lower case where the tables differ. Only what the interpreter's own tables do not assign is put to the library.
+    """
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    cut, lower = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+    late = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"))
+    codes = [ord(c) for c in late if len(cut(c + "!")) == 1]
+    firsts = [c for c in codes if c - 1 not in set(codes)]
+    lasts = [c for c in codes if c + 1 not in set(codes)]
+    differ = {ord(c): lower(c) for c in late if lower(c) != c.lower()}
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts)), differ
 
 
 def byte_symbols() -> list[str]:
@@ -101,7 +116,9 @@ class Transducer:
             self.token[node] = t
         self.special = regex.compile("|".join(map(regex.escape, v.special))) if v.special else None
         self.pattern = regex.compile(v.words)
-        self.newer = regex.compile(f"[{v.newer}]") if v.newer else None
+        self.newer = re.compile(f"[{v.newer}]") if v.newer else None
+        self.lower = v.lower
+        self.beyond = re.compile(rf"[{v.newer[:10]}-\U0010ffff]") if v.newer else None
         without = (rf"[\p{{{k}}}--[{v.newer}]]" for k in "LN")
         self.exact = regex.compile(v.words.replace(r"\p{L}", next(without)).replace(r"\p{N}", next(without)), regex.V1) if v.newer else self.pattern
         self.space = regex.compile(r"\s")
@@ -198,7 +215,7 @@ class Transducer:
 
     def run(self, text: str) -> int:
         """Tokens of a stretch of normalised text that is entered and left between words."""
-        rare = self.newer is not None and not text.isascii() and self.newer.search(text)
+        rare = self.newer is not None and not text.isascii() and self.beyond.search(text) and self.newer.search(text)
         return sum(map(self.counts.__getitem__, (self.exact if rare else self.pattern).findall(text)))
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
@@ -223,6 +240,8 @@ class Transducer:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower case is taken character by character
             text = text.replace("Σ", "σ")
+        if self.beyond is not None and self.lower and not text.isascii() and self.beyond.search(text):
+            text = text.translate(self.lower)
         text = text.lower()
         maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
         while len(maps) > 1:
