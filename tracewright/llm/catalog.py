@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid, linededup, pieces, simhash, tokencount, warc
+from tracewright.llm import decontam, langid, linededup, pieces, secretscan, simhash, tokencount, warc
 from tracewright.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("type").alias("record_type"), F.col("refers_to").cast(number).alias("refers_to"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokencount.load(public_tokenizers.path("word_bpe_49k.json"))
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
@@ -54,7 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op6_token_counts, op7_line_dedup, op9_decontamination,
+    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op5_secret_scan, op6_token_counts, op7_line_dedup, op9_decontamination,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.
