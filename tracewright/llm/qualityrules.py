@@ -24,7 +24,7 @@ REPEATED_PERCENT = 50
 SAMPLE = 40_000
 #: Cuts of each statistic, thresholds of one rule, rules of the list.
 CUTS, LONGEST, RULES = 8, 3, 12
-#: Share of bad documents that a rule needs among what it covers, and how many it must cover, in both parts of the sample.
+#: Share of bad documents that a rule needs among what it covers, and how many it must cover (a quarter of it among those aside).
 PRECISION, COVER = 0.95, 8
 
 
@@ -157,7 +157,7 @@ def cover(grow: list, prune: list, cuts: list[int]) -> list[list[tuple[int, bool
             i = max(range(len(rule)), key=lambda i: worth(rule[:i] + rule[i + 1 :]))
             rule = rule[:i] + rule[i + 1 :]
         sure = [_counts(part, rule) for part in (grow, prune)]
-        if any(b < COVER or b < PRECISION * (b + g) for b, g in sure):
+        if any(b < least or b < PRECISION * (b + g) for (b, g), least in zip(sure, (COVER, COVER // 4))):
             break
         out.append(rule)
         held = [[c for c in part if not all(c[0][f] > k if above else c[0][f] <= k for f, above, k in rule)] for part in (grow, prune)]
