@@ -140,9 +140,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     known = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & (fold(F.col("id")) != 0) & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    languages = sorted(counts)
+    # a hash range that holds about twice the texts wanted of each language: few rows reach the ranking, however many there are
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * SAMPLE_TEXTS / counts[k]))]) if languages else F.lit(None).cast("map<string,double>")
     order = Window.partitionBy("lang").orderBy("hash")
-    picked = known.select("id", "lang", F.xxhash64("id").alias("hash")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_TEXTS)
+    near = known.select("id", "lang", F.xxhash64("id").alias("hash")).filter(F.pmod("hash", F.lit(1 << 32)) < share[F.col("lang")] * (1 << 32))
+    picked = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_TEXTS)
     chosen = known.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi")  # SAMPLE_TEXTS x LANGUAGES ids at most
     rows = chosen.select("text", "lang").mapInArrow(_cuts, "text binary, lang string").collect()
     place = {x: i for i, x in enumerate(languages)}
@@ -182,7 +186,7 @@ def _predict(net: Network):
         flush()
         for i in known:
             k = int(sums[i].argmax())
-            out[i] = {"lang": net.languages[k], "score": min(1.0, float(sums[i, k] / sums[i].sum()))}
+            out[i] = {"lang": net.languages[k], "score": round(min(1.0, float(sums[i, k] / sums[i].sum())), 5)}
         return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     return batch
