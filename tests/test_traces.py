@@ -123,7 +123,7 @@ def test_episodes(spark):
     arts = [(4, 2, "i", "a1", "t", "s", "h", "final")]
     e = {r.run_id: r for r in W.episodes(traces(spark, runs, arts)).collect()}
     assert set(e) == {1, 2, 4}
-    assert e[1].is_2cycle and e[1].consecutive and e[1].n_trajectory_segments == 4 and e[1].agent_traj == "a1|a2|a1|a2" and e[1].no_progress
+    assert e[1].is_2cycle and e[1].consecutive and e[1].n_trajectory_segments == 4 and e[1].no_progress
     assert e[2].is_3cycle and e[2].length == 3
     assert e[4].interleaved and e[4].max_gap == 2 and e[4].n_artifacts_during == 1 and not e[4].no_progress and e[4].same_agent
     none = {r.run_id: r for r in W.episode_block(traces(spark, runs, arts)).collect()}[3]
@@ -175,3 +175,56 @@ def test_earliest_flip_and_alternation(spark):
     s = R.state_block(t).first()
     assert (s.state_flips, s.state_alternating_flips, s.state_keys, s.state_overrides) == (2, 1, 2, 1)
     assert R.positions(t).first().pos_first_conflict_flip == pytest.approx(3 / 7)
+
+
+def test_writes_of_one_turn_keep_their_order(spark):
+    tr = traces(spark, {1: pad(4)})
+    rows = [(1, 1, i, "a1", "k", "set", v) for i, v in enumerate(["9", "5", "9"])] + [(1, 2, 0, "a2", "other", "override", "1")]
+    tr.__dict__["state"] = spark.createDataFrame(rows, "run_id long, t long, idx long, agent string, key string, op string, value string").orderBy(F.desc("idx"))
+    b = R.state_block(tr).first()
+    assert (b.state_flips, b.state_alternating_flips, b.state_max_writes_per_key) == (2, 1, 3)
+    s = {r.t: r for r in TU.state_so_far(tr).collect()}
+    assert [(s[t].writes, s[t].key_writes, s[t].key_values, s[t].flips, s[t].alts) for t in range(4)] == [
+        (0, 0, 0, 0, 0), (3, 3, 2, 2, 1), (4, 1, 1, 2, 1), (4, 1, 1, 2, 1)]
+
+
+def test_all_segments_of_an_episode(spark):
+    say = lambda who: dict(sender=who, text="again and again")
+    who = [f"a{i % 9}" for i in range(20)] + ["a8", "a8"]
+    seg = W.episode_segments(traces(spark, {1: [say(w) for w in who]})).orderBy("segment").collect()
+    assert [r.segment for r in seg] == list(range(1, 22)) and [r.agent for r in seg] == [*who[:20], "a8"]
+
+
+def test_wilcoxon_for_any_number_of_differences(spark):
+    from itertools import product
+
+    from tracewright.operators import stats as T
+
+    got = T.wilcoxon_exact(spark.createDataFrame([(x,) for x in (0.1, -0.2, 0.2, 0.4, 0.0, 0.5)], "delta double")).first()
+    ranks, w = [1, 2.5, 2.5, 4, 5], 12.5
+    sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in product((0, 1), repeat=5)]
+    assert got.n == 5 and got.w_plus == w and abs(got.p - sum(min(x, 15 - x) <= 2.5 for x in sums) / 32) < 1e-12
+    many = T.wilcoxon_exact(spark.createDataFrame([(float(x),) for x in range(1, 61)], "delta double")).first()
+    assert many.n == 60 and many.w_plus == 1830 and abs(many.p - 2.0**-59) < 1e-25
+
+
+def test_resampled_cells_equal_resampled_rows(spark):
+    import hashlib
+    from collections import Counter
+
+    from tracewright.operators.resample import bootstrap_cells
+
+    rows = sorted(("xyz"[i % 3], "xy"[i % 2], "z") for i in range(17))
+    want = Counter()
+    for b in range(5):
+        for i in range(17):
+            want[(b, *rows[int(hashlib.md5(f"3_{b}_{i}".encode()).hexdigest()[:15], 16) % 17])] += 1
+    got = bootstrap_cells(spark.createDataFrame(rows, "y string, a string, b string"), ["y", "a", "b"], 5, 3).collect()
+    assert {(r.replicate, r.y, r.a, r.b): r.times for r in got} == dict(want)
+
+
+def test_open_assignments_count_to_the_end_of_the_run(spark):
+    talk = [dict(sender="a2", receiver="a1", intent="x"), dict(sender="a3", receiver="a1", intent="y"), dict(sender="a3", receiver="a1", intent="x")]
+    run = [assign("a2", "x"), *talk, deliver("a2", "x"), assign("a2", "x"), *talk, *talk]
+    got = {r.t: (r.n_owner_msgs, r.n_other_msgs) for r in L.activity_counts(traces(spark, {1: run})).collect()}
+    assert got == {0: (1, 1), 5: (2, 2)}

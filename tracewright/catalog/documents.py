@@ -37,7 +37,7 @@ register("a28_document_text", "run_id:l chars,words:l print:s", lambda tr: D.doc
 
 def tfidf_sql(src, key):
     return f"""tf AS (SELECT {key}, term, count(*) AS tf FROM {src} GROUP BY 1, 2),
-vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 5 ORDER BY total DESC, term LIMIT 60000),
+vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 5),
 wt AS (SELECT {key}, term, (1 + ln(tf)) * (ln((1 + nd) / (1 + df)) + 1) AS w FROM tf JOIN vo USING (term), nd), ln2 AS (SELECT {key}, sqrt(sum(w * w)) AS l FROM wt GROUP BY 1),
 answer AS (SELECT {key}, term, w / l AS weight FROM wt JOIN ln2 USING ({key}))"""
 

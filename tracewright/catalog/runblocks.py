@@ -167,8 +167,8 @@ register("a16_largest_scc", "run_id:l g_largest_scc,g_scc_share:d", G.largest_sc
          f"WITH {SCC_SQL}, answer AS (SELECT * FROM scc)")
 # waits give a sparse graph with several components
 register("a16_wait_scc", "run_id:l node,comp:s", lambda tr: G.scc_members(
-    M.pair_edges(tr.messages.filter("type = 'status' and t < 12")), G.run_nodes(tr)),
-    "WITH " + SCC_SQL.replace("FROM messages GROUP", "FROM messages WHERE type = 'status' AND t < 12 GROUP").replace(
+    M.pair_edges(tr.messages.filter("type = 'status'")), G.run_nodes(tr)),
+    "WITH " + SCC_SQL.replace("FROM messages GROUP", "FROM messages WHERE type = 'status' GROUP").replace(
         "SELECT run_id, src AS node FROM ed UNION SELECT run_id, dst FROM ed",
         "SELECT run_id, sender AS node FROM messages UNION SELECT run_id, receiver FROM messages")
     + ", answer AS (SELECT * FROM members)")

@@ -20,11 +20,11 @@ from tracewright.operators import turns as TU
 from tracewright.operators.graph import graph_block
 
 S = sql_ratio
-REPS = 60
+REPS = 1000
 
 
 def md5i(x):
-    return f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
 
 
 def run_block(tr):
@@ -33,7 +33,7 @@ def run_block(tr):
 
 # ---- bootstrap ----
 def boot_sql(src, seed, extra="y, a, b"):
-    return f"""bi AS (SELECT run_id, {extra}, row_number() OVER (ORDER BY run_id) - 1 AS i, count(*) OVER () AS m FROM {src}),
+    return f"""bi AS (SELECT run_id, {extra}, row_number() OVER (ORDER BY {extra}) - 1 AS i, count(*) OVER () AS m FROM {src}),
 bd AS (SELECT replicate, {md5i(f"'{seed}_' || replicate || '_' || i")} % m AS i FROM bi, (SELECT unnest(range({REPS})) AS replicate)),
 bw AS (SELECT d.replicate, {', '.join('x.' + e.strip() for e in extra.split(','))} FROM bd d JOIN bi x ON x.i = d.i)"""
 

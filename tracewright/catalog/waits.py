@@ -34,8 +34,8 @@ EP_SQL = f"""e0 AS (SELECT *, lag(t) OVER w AS pt, lag(sender) OVER w AS ps FROM
 e1 AS (SELECT *, sum(CASE WHEN t - pt <= 6 THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, norm ORDER BY t ROWS UNBOUNDED PRECEDING) AS g,
   CASE WHEN t - pt <= 6 THEN t - pt END AS gap, CASE WHEN t - pt <= 6 AND ps = sender THEN 0 ELSE 1 END AS ov FROM e0),
 e2 AS (SELECT run_id, norm AS sig, g, max(n) AS n, min(t) AS start_turn, max(t) AS end_turn, count(*) AS length, max(gap) AS max_gap, avg(gap) AS mean_gap,
-  substr(string_agg(DISTINCT sender, '|' ORDER BY sender), 1, 40) AS signature_sender, count(DISTINCT sender) AS n_distinct_agents, sum(ov) AS n_trajectory_segments,
-  array_to_string((list(sender ORDER BY t) FILTER (WHERE ov = 1))[1:6], '|') AS agent_traj, {cnt("type IN ('handoff', 'inform')")} AS n_deliver_msgs, arg_min(receiver, t) AS to_agent
+  count(DISTINCT sender) AS n_distinct_agents, sum(ov) AS n_trajectory_segments,
+  {cnt("type IN ('handoff', 'inform')")} AS n_deliver_msgs, arg_min(receiver, t) AS to_agent
   FROM e1 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
 fi AS (SELECT run_id, intent, min(t) AS t FROM messages WHERE intent <> '' GROUP BY 1, 2),
 e3 AS (SELECT *, (SELECT count(*) FROM artifacts a WHERE a.run_id = e2.run_id AND a.t BETWEEN start_turn AND end_turn) AS n_artifacts_during,
@@ -44,8 +44,8 @@ e3 AS (SELECT *, (SELECT count(*) FROM artifacts a WHERE a.run_id = e2.run_id AN
 ep AS (SELECT *, end_turn - start_turn AS span, max_gap = 1 AS consecutive, max_gap <> 1 AS interleaved, n_distinct_agents >= 2 AS is_cycle, n_distinct_agents = 2 AS is_2cycle,
   n_distinct_agents = 3 AS is_3cycle, n_distinct_agents = 1 AS same_agent, n_artifacts_during = 0 AND n_state_during = 0 AS no_progress,
   CASE WHEN n_artifacts_during = 0 AND n_state_during = 0 THEN end_turn - start_turn ELSE 0 END AS no_progress_span FROM e3)"""
-register("w15_episodes", "run_id:l sig,signature_sender:s start_turn,end_turn,length,span:l consecutive,interleaved:b max_gap:l mean_gap:d "
-         "n_distinct_agents,n_trajectory_segments:l is_cycle,is_2cycle,is_3cycle,same_agent:b agent_traj:s n_artifacts_during,n_state_during,"
+register("w15_episodes", "run_id:l sig:s start_turn,end_turn,length,span:l consecutive,interleaved:b max_gap:l mean_gap:d "
+         "n_distinct_agents,n_trajectory_segments:l is_cycle,is_2cycle,is_3cycle,same_agent:b n_artifacts_during,n_state_during,"
          "n_new_intent_during,n_deliver_msgs:l no_progress:b no_progress_span:l to_agent:s", W.all_episodes, f"WITH {EP_SQL}, answer AS (SELECT * FROM ep)")
 
 
@@ -54,10 +54,13 @@ def _short(c):
     return F.split_part(c, F.lit(" "), F.lit(1))
 
 
-register("w15_word_episodes", "run_id:l sig:s start_turn,end_turn,length,n_artifacts_during,n_state_during,n_new_intent_during,n_trajectory_segments:l agent_traj:s",
+register("w15_word_episodes", "run_id:l sig:s start_turn,end_turn,length,n_artifacts_during,n_state_during,n_new_intent_during,n_trajectory_segments:l",
          lambda tr: W.episodes(tr, _short),
          "WITH " + EP_SQL.replace("e0 AS (SELECT *, lag", "mw AS (SELECT * REPLACE (split_part(text, ' ', 1) AS norm) FROM messages), e0 AS (SELECT *, lag").replace(
              "FROM messages WHERE norm", "FROM mw WHERE norm") + ", answer AS (SELECT * FROM ep)")
+register("w15_episode_segments", "run_id:l sig:s start_turn,segment:l agent:s", W.episode_segments,
+         f"""WITH {EP_SQL}, answer AS (SELECT run_id, sig, start_turn, row_number() OVER (PARTITION BY run_id, sig, start_turn ORDER BY t) AS segment, agent
+  FROM (SELECT e1.run_id, e1.norm AS sig, e2.start_turn, e1.t, e1.sender AS agent FROM e1 JOIN e2 ON e2.run_id = e1.run_id AND e2.sig = e1.norm AND e2.g = e1.g WHERE e1.ov = 1))""")
 register("j7_inside_episodes", "run_id,start_turn,end_turn,n_artifacts_during,n_state_during,n_new_intent_during:l", W.all_episodes,
          f"WITH {EP_SQL}, answer AS (SELECT * FROM ep)")
 EPX_SQL = f"""{EP_SQL},

@@ -81,4 +81,4 @@ def hash_bucket(token: Column, buckets: int = 32768) -> Column:
 
 
 def md5_int(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

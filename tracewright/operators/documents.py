@@ -96,17 +96,20 @@ def char_grams(word: Column) -> Column:
     return F.concat(of(3), of(4), of(5))
 
 
-def tfidf(terms: DataFrame, key: str, n_docs: Column, min_df: int = 5, max_terms: int = 60000) -> DataFrame:
+def tfidf(terms: DataFrame, key: str, n_docs: Column, min_df: int = 5, max_terms: int | None = None) -> DataFrame:
     """(key, term, weight) from one row per term occurrence: 1 + ln tf, smoothed idf, unit length per document.
 
-    Occurrences are counted before the shuffle; the vocabulary is at most
-    ``max_terms`` rows, so joining it needs no shuffle of the counts.
+    Occurrences are counted before the shuffle. All terms of ``min_df`` or more
+    documents are kept unless ``max_terms`` asks for the most frequent only; the
+    vocabulary grows with the data, so the join on it is a shuffle unless it
+    turns out small.
     """
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    vocab = vocab.orderBy(F.col("total").desc(), "term").limit(max_terms)
+    if max_terms is not None:
+        vocab = vocab.orderBy(F.col("total").desc(), "term").limit(max_terms)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    w = tf.join(F.broadcast(vocab.select("term", idf.alias("idf"))), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    w = tf.join(vocab.select("term", idf.alias("idf")), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
 

@@ -24,7 +24,8 @@ def scc_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     distributed reachability colouring; there is no cap.
     """
     sizes = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("k"))
-    small = _small_components(edges, nodes.join(sizes.filter(F.col("k") <= BITS), "run_id", "left_semi"))
+    few = sizes.filter(F.col("k") <= BITS).select("run_id")
+    small = _small_components(edges.join(few, "run_id", "left_semi"), nodes.join(few, "run_id", "left_semi"))
     big_ids = sizes.filter(F.col("k") > BITS).select("run_id")
     if big_ids.isEmpty():
         return small
@@ -33,7 +34,7 @@ def scc_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _small_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Transitive closure on bit masks; the array per run holds at most 60 names."""
+    """Transitive closure on bit masks, for runs of at most 60 agents: arrays of 60 names and 3540 edges at most."""
     listed = nodes.groupBy("run_id").agg(F.sort_array(F.collect_set("node")).alias("names"))
     named = edges.filter(F.col("src") != F.col("dst")).select("run_id", "src", "dst").distinct().groupBy("run_id").agg(
         F.collect_list(F.struct("src", "dst")).alias("es"))

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tracewright.fixed import FAULTS, LABELS, RADIUS
 from tracewright.operators import lifecycles as L
@@ -20,6 +21,7 @@ from tracewright.operators.localize import AGGREGATE_COLS, argmax, label_index,
 from tracewright.operators.resample import stratified_folds
 from tracewright.operators.turns import CAUSAL_COLS, WINDOW_COLS, causal_turns, turn_windows
 from tracewright.operators.waits import wait_block
+from tracewright.plans.scan import ranked
 from tracewright.session import written
 from tracewright.sources.traces import Traces
 
@@ -132,7 +134,7 @@ def window_stack(tr: Traces, fit_ids: DataFrame, other_ids: DataFrame, inner: in
 def stacked_label_probabilities(tr: Traces, outer: int = 3, inner: int = 3, trees: int = 100, depth: int = 8, seed: int = 42) -> DataFrame:
     """Label probabilities of every run, out of fold, with window columns that are out of fold too."""
     base = foundation(tr)
-    folds = tr.once(f"folds{outer}", lambda t: stratified_folds(t.truth, outer, seed))
+    folds = tr.once(f"folds{outer}_{seed}", lambda t: stratified_folds(t.truth, outer, seed))
     cols = [c for c in base.columns if c != "run_id"] + AGGREGATE_COLS
     parts = []
     for i in range(outer):
@@ -161,8 +163,9 @@ def shipped_job(tr: Traces, train_ids: DataFrame, test_ids: DataFrame, trees: in
     """
     base = foundation(tr)
     cols = [c for c in base.columns if c != "run_id"] + AGGREGATE_COLS
-    agg = tr.once("shipped_windows", lambda t: window_stack(t, train_ids, test_ids, inner, trees, depth, 7))
-    x = tr.once("shipped_rows", lambda t: label_rows(t, base.join(agg, "run_id")))
+    # made anew for each call: another split or setting is another table
+    agg = written(window_stack(tr, train_ids, test_ids, inner, trees, depth, 7), "shipped_windows")
+    x = written(label_rows(tr, base.join(agg, "run_id")), "shipped_rows")
     train, test = x.join(train_ids.select("run_id"), "run_id", "left_semi"), x.join(test_ids.select("run_id"), "run_id", "left_semi")
 
     def fit(rows: DataFrame) -> Predict:
@@ -206,17 +209,25 @@ def turn_ranker(tr: Traces, folds: DataFrame, k: int, rounds: int = 20, depth: i
 
 
 def sparse_rows(weights: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """TF-IDF rows (key, term, weight) as sparse vectors. The vocabulary is bounded, so its index is one small table."""
-    vocab = weights.select("term").distinct().withColumn("i", F.row_number().over(Window.partitionBy().orderBy("term")) - 1)
+    """TF-IDF rows (key, term, weight) as sparse vectors, written; and the size of the vocabulary.
+
+    Terms are numbered by a chunked ranking of their md5. The vectors' fields are
+    put together by the engine and read back from Parquet as the vector type.
+    """
+    terms = weights.select("term").distinct().withColumn("__h", F.md5("term"))
+    prefix = F.conv(F.substring("__h", 1, 3), 16, 10).cast("long")
+    vocab = written(ranked(terms, [], ["__h", "term"], "i", chunk=prefix).select("term", F.col("i").cast("int").alias("i")), "text_terms")
     size = vocab.count()
-    rows = weights.join(F.broadcast(vocab), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    to_vector = F.udf(lambda x: Vectors.sparse(size, [e["i"] for e in x], [e["weight"] for e in x]), VectorUDT())
-    return rows.select(key, to_vector("x").alias("features")), size
+    rows = weights.join(vocab, "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("x.i").alias("indices"), F.col("x.weight").alias("values"))
+    flat = rows.select(key, parts.alias("features"))
+    kinds = StructType([flat.schema[key], StructField("features", VectorUDT())])
+    return written(flat, "text_vectors", kinds), size
 
 
 def text_classifier(weights: DataFrame, labels: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """Multinomial logistic regression on sparse text vectors; (key, c, p). labels: key, y."""
-    v = written(sparse_rows(weights, key)[0], "text_vectors")
+    v = sparse_rows(weights, key)[0]
     train = v.join(labels, key)
     model = LogisticRegression(family="multinomial", labelCol="y", maxIter=rounds, regParam=0.01).fit(train)
     return _long(model.transform(v), [key])

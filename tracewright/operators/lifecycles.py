@@ -91,13 +91,16 @@ def activity_counts(tr: Traces) -> DataFrame:
     parts = _keys(part(_key("s", "receiver"), 1, 1), F.when(keyed, part(F.lit("all"), 0, 1)),
                   F.when(keyed, part(_key("i", "intent"), 0, -1)), F.when(keyed, part(_key("r", "receiver"), 0, -1)),
                   F.when(keyed, part(_key("p", "receiver", "intent"), 0, 1)))
-    pts = matched(tr).select("run_id", F.col("t").alias("t0"), F.coalesce("refs_t", "n").alias("stop"),
+    pts = matched(tr).select("run_id", F.col("t").alias("t0"), F.col("refs_t").alias("stop"),
                              F.explode(parts).alias("x")).select("run_id", "t0", "stop", "x.*")
     pts = pts.select("run_id", "t0", "k", "own", "sign", F.explode(F.array(
         F.struct(F.col("t0").alias("t"), F.lit(-1).alias("end")),
         F.struct(F.col("stop").alias("t"), F.lit(1).alias("end")))).alias("e")).select(
             "run_id", "t0", "k", "own", F.col("e.t").alias("t"), (F.col("sign") * F.col("e.end")).alias("w"))
-    c = lookup(pts, ev, ["run_id", "k"], {"c": ("sum", F.lit(1))}, direction="prev")
+    c = lookup(pts.filter("t is not null"), ev, ["run_id", "k"], {"c": ("sum", F.lit(1))}, direction="prev")
+    # an open assignment ends with its run: the key's total, so that no position gathers the open ones
+    total = ev.groupBy("run_id", "k").agg(F.count(F.lit(1)).alias("c"))
+    c = c.unionByName(pts.filter("t is null").join(total, ["run_id", "k"]).select(c.columns))
     return c.groupBy("run_id", F.col("t0").alias("t")).agg(
         F.sum(F.when(F.col("own") == 1, F.col("w") * F.col("c")).otherwise(0)).alias("n_owner_msgs"),
         F.sum(F.when(F.col("own") == 0, F.col("w") * F.col("c")).otherwise(0)).alias("n_other_msgs"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracewright.functions.text import md5_int
-from tracewright.plans.scan import chunk_of, ranked
+from tracewright.plans.scan import ranked
+
+#: Of true label and two predictions there are 7 x 7 x 7.
+MOST_CELLS = 1000
 
 
 def seeded(seed: int | str, *cols: str) -> Column:
@@ -40,15 +44,23 @@ def nested_folds(df: DataFrame, outer: int, inner: int, seed: int) -> DataFrame:
     return stratified_folds(fit, inner, seed + 1, within=["outer_fold"])
 
 
-def bootstrap_counts(df: DataFrame, replicates: int, seed: int, key: str = "run_id") -> DataFrame:
-    """(replicate, key, times): rows drawn with replacement, repeatably.
+def bootstrap_cells(df: DataFrame, cells: list[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, *cells, times): rows drawn with replacement, repeatably, as counts of the cells they fall in.
 
-    Draw i of replicate b is row md5(seed, b, i) mod n. Draws of the same row are
-    counted before they meet the data, and rows are found by a dense index.
+    Rows are thought of in order of their cell, so draw i of replicate b, md5(seed, b, i) mod n, tells the cell without
+    meeting a row. Draws are counted where they are made: what is shuffled is one count for each replicate and cell.
+    ``cells`` are class labels, so there are few combinations; more than ``MOST_CELLS`` are refused.
     """
-    idx = ranked(df.select(key), [], [key], "i", chunk=chunk_of(df, key))
-    n = df.select(F.count(F.lit(1))).scalar()
-    draws = idx.select("i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    d = F.pmod(md5_int(F.concat_ws("_", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string"))), n)
-    hits = draws.select("replicate", d.alias("i")).groupBy("replicate", "i").agg(F.count(F.lit(1)).alias("times"))
-    return hits.join(idx, "i").select("replicate", key, "times")
+    spark = df.sparkSession
+    found = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).orderBy(*cells).limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of {cells}")
+    n = sum(r.n for r in found)
+    ends = [sum(r.n for r in found[: i + 1]) for i in range(len(found))]
+    draws = spark.range(0, n * replicates).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), F.pmod("id", F.lit(max(n, 1))).alias("i"))
+    d = F.pmod(md5_int(F.concat_ws("_", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string"))), F.lit(max(n, 1)))
+    bounds = F.array(*[F.lit(e).cast("long") for e in ends])
+    cell = F.size(F.filter(bounds, lambda e: e <= F.col("d")))
+    times = draws.select("replicate", d.alias("d")).select("replicate", cell.alias("cell")).groupBy("replicate", "cell").agg(F.count(F.lit(1)).alias("times"))
+    named = spark.createDataFrame([(i, *[r[c] for c in cells]) for i, r in enumerate(found)], StructType([StructField("cell", IntegerType()), *[df.schema[c] for c in cells]]))
+    return times.join(named, "cell").select("replicate", *cells, "times")

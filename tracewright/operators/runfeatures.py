@@ -190,13 +190,13 @@ def artifact_block(tr: Traces) -> DataFrame:
 
 
 def state_changes(tr: Traces) -> DataFrame:
-    """State writes with the key's previous two values and writer."""
+    """State writes, in order of turn and place in it, with the key's previous two values and writer."""
     w = tr.state
-    one = running(w, ["run_id", "key"], ["t"], {"prev": ("last", F.struct("value", "agent"), False)})
-    two = running(one, ["run_id", "key"], ["t"], {"prev2": ("last", F.col("prev.value"), False)})
+    one = running(w, ["run_id", "key"], ["t", "idx"], {"prev": ("last", F.struct("value", "agent"), False)})
+    two = running(one, ["run_id", "key"], ["t", "idx"], {"prev2": ("last", F.col("prev.value"), False)})
     v, p, p2 = F.col("value"), F.col("prev.value"), F.col("prev2")
     return two.select(
-        "run_id", "t", "agent", "key", "op", "value", p.alias("prev_value"), F.col("prev.agent").alias("prev_agent"),
+        "run_id", "t", "idx", "agent", "key", "op", "value", p.alias("prev_value"), F.col("prev.agent").alias("prev_agent"),
         (p.isNotNull() & (v != p)).alias("flip"),
         F.coalesce(p2.isNotNull() & (v == p2) & (v != p), F.lit(False)).alias("alt_flip"),
         (F.col("prev").isNotNull() & (F.col("prev.agent") != F.col("agent"))).alias("cross_writer"))

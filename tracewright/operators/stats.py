@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tracewright.functions.numbers import count_where, finite, flag, ratio
 from tracewright.functions.text import md5_int
 from tracewright.operators.evaluate import macro_f1
-from tracewright.operators.resample import bootstrap_counts
-from tracewright.plans.scan import percentiles, ranked, running
+from tracewright.operators.resample import bootstrap_cells
+from tracewright.plans.scan import chunk_of, percentiles, ranked, running
 from tracewright.session import written
 
 
@@ -35,9 +35,8 @@ def _summary(deltas: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def bootstrap_deltas(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Macro F1 of B minus A on every resample of the rows (df: run_id, y, a, b)."""
-    c = bootstrap_counts(df, replicates, seed)
-    cells = c.join(df.select("run_id", "y", "a", "b"), "run_id").groupBy("replicate", "y", "a", "b").agg(F.sum("times").alias("w"))
-    w = F.col("w")
+    cells = written(bootstrap_cells(df, ["y", "a", "b"], replicates, seed), "cells")
+    w = F.col("times")
     a = macro_f1(cells, ["replicate"], yp="a", weight=w).withColumnRenamed("macro_f1", "fa")
     b = macro_f1(cells, ["replicate"], yp="b", weight=w).withColumnRenamed("macro_f1", "fb")
     return a.join(b, "replicate").select("replicate", (F.col("fb") - F.col("fa")).alias("delta"))
@@ -50,7 +49,7 @@ def bootstrap_test(df: DataFrame, replicates: int, seed: int) -> DataFrame:
 def recall_bootstrap(df: DataFrame, label: str, replicates: int, seed: int) -> DataFrame:
     """Difference of recall on the rows of one true label, resampled inside those rows."""
     pos = df.filter(F.col("y") == label)
-    c = bootstrap_counts(pos, replicates, seed).join(pos.select("run_id", "a", "b"), "run_id")
+    c = bootstrap_cells(pos, ["y", "a", "b"], replicates, seed)
     hit = lambda m: F.sum(F.when(F.col(m) == label, F.col("times")).otherwise(0)) / F.sum("times")
     return _summary(c.groupBy("replicate").agg((hit("b") - hit("a")).alias("delta")))
 
@@ -89,32 +88,37 @@ def paired_summary(deltas: DataFrame) -> DataFrame:
 
 
 def wilcoxon_exact(deltas: DataFrame) -> DataFrame:
-    """Exact signed-rank test for at most 12 differences: every sign pattern is one row."""
+    """Exact signed-rank test: the distribution of the rank sum, one rank after the other.
+
+    For differences of seeds or folds, one row each, which meet in one place; n of them cost n steps over their rank sums.
+    """
     d = deltas.select(F.round("delta", 9).alias("d")).filter("d <> 0")
     w = Window.partitionBy().orderBy(F.abs("d"))
-    # at most 12 rows: one per seed
     r = d.withColumn("lo", F.rank().over(w)).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(F.abs("d"))))
     r = r.select("d", (F.col("lo") + (F.col("ties") - 1) / 2).alias("rank"))
     s = r.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum("rank").alias("total"), _one().alias("n"),
               F.sort_array(F.collect_list("rank")).alias("ranks"))
-    pats = s.select("*", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("n")).cast("int") - 1)).alias("bits"))
-    got = F.aggregate(F.transform("ranks", lambda x, i: F.when(F.call_function("shiftright", F.col("bits"), i).bitwiseAND(1) == 1, x).otherwise(0.0)),
-                      F.lit(0.0), lambda acc, x: acc + x)
+    # ranks are halves at the finest: element i holds the probability that twice the sum is i
+    none = lambda k: F.array_repeat(F.lit(0.0), (2 * k).cast("int"))
+    chance = F.aggregate("ranks", F.array(F.lit(1.0)), lambda acc, x: F.zip_with(
+        F.concat(acc, none(x)), F.concat(none(x), acc), lambda out, plus: (out + plus) / 2))
     low = F.least(F.col("w_plus"), F.col("total") - F.col("w_plus"))
-    return pats.groupBy("n", "w_plus", "total").agg(F.avg(flag(F.least(got, F.col("total") - got) <= low)).alias("p")).select("n", "w_plus", "p")
+    tail = s.select("n", "w_plus", "total", low.alias("low"), F.posexplode(chance).alias("twice", "pr"))
+    got = F.col("twice") / 2
+    return tail.groupBy("n", "w_plus").agg(F.sum(F.when(F.least(got, F.col("total") - got) <= F.col("low"), F.col("pr")).otherwise(0.0)).alias("p"))
 
 
 def strongest_correlations(block: DataFrame, target: str, cols: list[str], top: int = 5) -> DataFrame:
     """Largest absolute Pearson and Spearman correlations of ``target`` with the columns of a block.
 
-    Ranks follow value and then run id; the ranking of a whole column is cut into
-    value chunks, so it never runs in one task.
+    Ranks follow value and then run id. A ranking is cut into chunks by value and,
+    as most values of a column may be equal, by ranges of run id inside a value.
     """
     r9 = [F.round(F.col(c).cast("double"), 9).alias(c) for c in [target, *cols]]
     x = block.select("run_id", *r9)
     pear = x.select(*[F.corr(target, c).alias(c) for c in cols]).unpivot([], cols, "feature", "pearson")
     long = x.unpivot(["run_id"], [target, *cols], "feature", "value")
-    rk = ranked(long, ["feature"], ["value", "run_id"], "r", chunk=value_bucket("value")).select("run_id", "feature", "r")
+    rk = ranked(long, ["feature"], ["value", "run_id"], "r", chunk=F.struct(value_bucket("value").alias("v"), "value", chunk_of(long, "run_id").alias("i"))).select("run_id", "feature", "r")
     me = rk.filter(F.col("feature") == target).select("run_id", F.col("r").alias("r0"))
     spear = rk.filter(F.col("feature") != target).join(me, "run_id").groupBy("feature").agg(F.corr("r", "r0").alias("spearman"))
     j = pear.join(spear, "feature").select("feature", F.abs(finite("pearson")).alias("pearson"), F.abs(finite("spearman")).alias("spearman"))

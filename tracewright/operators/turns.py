@@ -84,20 +84,18 @@ def pair_history(tr: Traces) -> DataFrame:
 def state_so_far(tr: Traces) -> DataFrame:
     """For every turn the latest state write at or before it, with running totals."""
     ch = tr.once("state_changes", state_changes)
-    news = ch.groupBy("run_id", "key", "value").agg(F.min("t").alias("first_t"))
-    x = ch.join(news, ["run_id", "key", "value"]).withColumn("fresh", F.when(F.col("t") == F.col("first_t"), 1).otherwise(0))
-    x = x.select("run_id", "t", "key", "op", "flip", "alt_flip", "fresh")
+    news = ch.groupBy("run_id", "key", "value").agg(F.min(F.struct("t", "idx")).alias("first"))
+    x = ch.join(news, ["run_id", "key", "value"]).withColumn("fresh", F.when(F.struct("t", "idx") == F.col("first"), 1).otherwise(0))
+    x = x.select("run_id", "t", "idx", "key", "op", "flip", "alt_flip", "fresh")
     one, over = F.lit(1).cast("long"), F.when(F.col("op") == "override", 1).otherwise(0)
     b = lambda c: F.when(F.col(c), 1).otherwise(0)
-    run = running(x, ["run_id"], ["t"], {"writes": ("sum", one), "values": ("sum", "fresh"), "overrides": ("sum", over),
+    key = running(x, ["run_id", "key"], ["t", "idx"], {"key_writes": ("sum", one), "key_values": ("sum", "fresh")}, pos="t")
+    j = running(key, ["run_id"], ["t", "idx"], {"writes": ("sum", one), "values": ("sum", "fresh"), "overrides": ("sum", over),
                                          "flips": ("sum", b("flip")), "alts": ("sum", b("alt_flip"))})
-    key = running(x.select("run_id", "t", "key", "fresh"), ["run_id", "key"], ["t"], {
-        "key_writes": ("sum", one), "key_values": ("sum", "fresh")}, pos="t").drop("key", "fresh")
-    j = run.join(key, ["run_id", "t"])
     names = ["writes", "values", "overrides", "flips", "alts", "key_writes", "key_values"]
     last = F.struct(*names, over.alias("is_override"), b("flip").alias("changed"), b("alt_flip").alias("alt"),
                     F.when(F.col("key") == "run_status", 1).otherwise(0).alias("is_run_status"))
-    out = lookup(tr.messages.select("run_id", "t"), j, ["run_id"], {"s": ("last", last)}, inclusive=True)
+    out = lookup(tr.messages.select("run_id", "t"), j, ["run_id"], {"s": ("last", last)}, inclusive=True, tie="idx")
     return out.select("run_id", "t", *[F.coalesce(f"s.{n}", F.lit(0)).cast("double").alias(n) for n in [
         *names, "is_override", "changed", "alt", "is_run_status"]])
 

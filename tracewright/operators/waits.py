@@ -54,8 +54,8 @@ def wait_block(tr: Traces) -> DataFrame:
 
 
 # ---- repeat episodes ---------------------------------------------------------
-def episodes(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFrame:
-    """Bursts of one normalised text: neighbours at most six turns apart, at least three messages."""
+def _repeats(tr: Traces, norm: Callable[[Column], Column]) -> DataFrame:
+    """Messages of repeated texts: the start of their burst, and how often the agent changed up to them."""
     m = tr.messages.select("run_id", "t", "n", "sender", "receiver", "type", "intent", norm(F.col("text")).alias("sig"))
     k = m.filter("sig <> ''")
     k = running(k, ["run_id", "sig"], ["t"], {"prev": ("last", F.struct("t", "sender"), False)}, pos="t")
@@ -63,21 +63,32 @@ def episodes(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFr
     starts = gap.isNull() | (gap > EPISODE_MAX_GAP)
     k = k.withColumn("gap", F.when(~starts, gap)).withColumn(
         "turns_over", F.when(starts | (F.col("prev.sender") != F.col("sender")), 1).otherwise(0)).withColumn("starts", starts)
-    k = running(k, ["run_id", "sig"], ["t"], {"start_turn": ("max", F.when(F.col("starts"), F.col("t"))),
-                                              "over": ("sum", "turns_over")}, pos="t")
-    # number of the agent segment inside the episode
-    first = F.min("over")
+    return running(k, ["run_id", "sig"], ["t"], {"start_turn": ("max", F.when(F.col("starts"), F.col("t"))),
+                                                 "over": ("sum", "turns_over")}, pos="t")
+
+
+def episode_segments(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFrame:
+    """(run_id, sig, start_turn, segment, agent): every stretch of one agent in an episode, in order from 1."""
+    k = _repeats(tr, norm)
+    e = k.groupBy("run_id", "sig", "start_turn").agg(_one().alias("length"), F.min("over").alias("first_over")).filter(
+        F.col("length") >= EPISODE_MIN_LENGTH)
+    seg = k.filter("turns_over = 1").join(e, ["run_id", "sig", "start_turn"])
+    return seg.select("run_id", "sig", "start_turn", (F.col("over") - F.col("first_over") + 1).alias("segment"), F.col("sender").alias("agent"))
+
+
+def episodes(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFrame:
+    """Bursts of one normalised text: neighbours at most six turns apart, at least three messages.
+
+    Who spoke in which order is a table of its own, ``episode_segments``.
+    """
+    m = tr.messages
+    k = _repeats(tr, norm)
     e = k.groupBy("run_id", "sig", "start_turn").agg(
         F.max("n").alias("n"), F.max("t").alias("end_turn"), _one().alias("length"), F.max("gap").alias("max_gap"),
-        F.avg("gap").alias("mean_gap"), F.array_join(F.array_sort(F.collect_set("sender")), "|").alias("signature_sender"),
+        F.avg("gap").alias("mean_gap"),
         F.count_distinct("sender").alias("n_distinct_agents"), F.sum("turns_over").alias("n_trajectory_segments"),
         count_where(F.col("type").isin("handoff", "inform")).alias("n_deliver_msgs"),
-        F.min_by("receiver", "t").alias("to_agent"), first.alias("first_over")).filter(F.col("length") >= EPISODE_MIN_LENGTH)
-    seg = k.filter("turns_over = 1").join(e.select("run_id", "sig", "start_turn", "first_over"),
-                                          ["run_id", "sig", "start_turn"]).filter(F.col("over") < F.col("first_over") + 6)
-    traj = seg.groupBy("run_id", "sig", "start_turn").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("t", "sender"))), lambda x: x["sender"]), "|").alias("agent_traj"))
-    e = e.join(traj, ["run_id", "sig", "start_turn"], "left")
+        F.min_by("receiver", "t").alias("to_agent")).filter(F.col("length") >= EPISODE_MIN_LENGTH)
     firsts = m.filter("trim(intent) <> ''").groupBy("run_id", "intent").agg(F.min("t").alias("t"))
     marks = (tr.artifacts.select("run_id", "t", F.lit(1).alias("a"), F.lit(0).alias("s"), F.lit(0).alias("i"))
              .unionByName(tr.state.select("run_id", "t", F.lit(0).alias("a"), F.lit(1).alias("s"), F.lit(0).alias("i")))
@@ -94,10 +105,10 @@ def episodes(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFr
     idle = (F.col("n_artifacts_during") == 0) & (F.col("n_state_during") == 0)
     tight = F.col("max_gap") == 1
     return e.select(
-        "run_id", "sig", "n", F.substring("signature_sender", 1, 40).alias("signature_sender"), "start_turn", "end_turn", "length",
+        "run_id", "sig", "n", "start_turn", "end_turn", "length",
         span.alias("span"), tight.alias("consecutive"), (~tight).alias("interleaved"), "max_gap", "mean_gap", "n_distinct_agents",
         "n_trajectory_segments", (d >= 2).alias("is_cycle"), (d == 2).alias("is_2cycle"), (d == 3).alias("is_3cycle"),
-        (d == 1).alias("same_agent"), "agent_traj", "n_artifacts_during", "n_state_during", "n_new_intent_during",
+        (d == 1).alias("same_agent"), "n_artifacts_during", "n_state_during", "n_new_intent_during",
         "n_deliver_msgs", idle.alias("no_progress"), F.when(idle, span).otherwise(0).alias("no_progress_span"), "to_agent")
 
 
@@ -228,9 +239,12 @@ def _assignee_activity(tr: Traces) -> DataFrame:
         F.struct(key("s", "assignee", "task").alias("k"), F.lit("other").alias("side"), F.lit(-1).alias("w")))).alias("x"))
     pts = pts.select("run_id", "at", "x.*", F.explode(F.array(
         F.struct((F.col("at") + 1).alias("seq"), F.lit(-1).alias("e")),
-        F.struct(F.coalesce("result_seq", F.lit(2**52)).alias("seq"), F.lit(1).alias("e")))).alias("y")).select(
+        F.struct(F.col("result_seq").alias("seq"), F.lit(1).alias("e")))).alias("y")).select(
             "run_id", "at", "k", "side", F.col("y.seq").alias("seq"), (F.col("w") * F.col("y.e")).alias("w"))
-    c = lookup(pts, ev, ["run_id", "k"], {"c": ("sum", F.lit(1))}, pos="seq")
+    c = lookup(pts.filter("seq is not null"), ev, ["run_id", "k"], {"c": ("sum", F.lit(1))}, pos="seq")
+    # without a result all that follows counts: the key's total, so no position gathers the open tasks of a run
+    total = ev.groupBy("run_id", "k").agg(F.count(F.lit(1)).alias("c"))
+    c = c.unionByName(pts.filter("seq is null").join(total, ["run_id", "k"]).select(c.columns))
     return c.groupBy("run_id", F.col("at").alias("seq")).agg(
         (F.sum(F.when(F.col("side") == "resp", F.col("w") * F.col("c")).otherwise(0)) > 0).alias("response"),
         (F.sum(F.when(F.col("side") == "other", F.col("w") * F.col("c")).otherwise(0)) > 0).alias("other_activity"))

@@ -42,7 +42,9 @@ def flatten(decoded: DataFrame) -> dict[str, DataFrame]:
         F.coalesce("x.tool", F.lit("")).alias("tool"),
         F.coalesce("x.refs", F.array().cast("array<string>")).alias("refs"))
     artifacts = rows("artifacts").select("run_id", "x.t", "x.id", "x.by", "x.type", "x.subtask", "x.hash", "x.status")
-    state = rows("shared_state").select("run_id", "x.t", "x.agent", "x.key", "x.op", "x.value")
+    # the place in the source orders several writes of one turn
+    state = decoded.select("run_id", F.posexplode("shared_state").alias("idx", "x")).select(
+        "run_id", "x.t", F.col("idx").cast("long").alias("idx"), "x.agent", "x.key", "x.op", "x.value")
     edges = decoded.select("run_id", F.explode("topology.edges").alias("e")).select(
         "run_id", F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"))
     return {"agents": agents, "messages": messages, "artifacts": artifacts, "state": state, "topology_edges": edges}
@@ -62,7 +64,7 @@ def export_runs(tr: Traces) -> DataFrame:
     m = parts(tr.plain_messages, F.struct("t", F.col("sender").alias("from"), F.col("receiver").alias("to"), "type",
                                           "intent", "text", "tool", "refs"), "messages")
     a = parts(tr.artifacts, F.struct("t", "id", "by", "type", "subtask", "hash", "status"), "artifacts")
-    s = parts(tr.state, F.struct("t", "agent", "key", "op", "value"), "shared_state")
+    s = parts(tr.state, F.struct("t", "idx", "agent", "key", "op", "value"), "shared_state")
     team = tr.agents.groupBy("run_id").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(F.col("agent").alias("id"), "role")))).alias("agents"))
     edges = tr.topology_edges.groupBy("run_id").agg(F.sort_array(F.collect_list(F.array("src", "dst"))).alias("edges"))
@@ -111,15 +113,16 @@ def observable(runs: DataFrame) -> DataFrame:
 
 def event_log(tr: Traces) -> DataFrame:
     """Messages, state writes and artifacts of a run in one order (seq from 0); unknown turns last."""
-    m = tr.plain_messages.select("run_id", "t", F.lit(0).alias("rank"), F.lit("message").alias("kind"),
+    first = F.lit(0).cast("long").alias("idx")
+    m = tr.plain_messages.select("run_id", "t", F.lit(0).alias("rank"), F.lit("message").alias("kind"), first,
                                  F.lit("").alias("src"), F.col("sender").alias("actor"), F.col("intent").alias("task"))
-    s = tr.state.select("run_id", "t", F.lit(1).alias("rank"), F.lit("state").alias("kind"),
+    s = tr.state.select("run_id", "t", F.lit(1).alias("rank"), F.lit("state").alias("kind"), "idx",
                         F.col("key").alias("src"), F.col("agent").alias("actor"), F.lit("").alias("task"))
-    a = tr.artifacts.select("run_id", "t", F.lit(2).alias("rank"), F.lit("artifact").alias("kind"),
+    a = tr.artifacts.select("run_id", "t", F.lit(2).alias("rank"), F.lit("artifact").alias("kind"), first,
                             F.col("id").alias("src"), F.col("by").alias("actor"), F.col("subtask").alias("task"))
     log = m.unionByName(s).unionByName(a).withColumn("late", F.when(F.col("t").isNull(), 1).otherwise(0))
     c = F.coalesce(chunk_of(log, "t"), F.lit(2**62))
-    return ranked(log, ["run_id"], ["late", "t", "rank", "src"], "seq", chunk=c).drop("late")
+    return ranked(log, ["run_id"], ["late", "t", "rank", "idx", "src"], "seq", chunk=c).drop("late", "idx")
 
 
 def token_buckets(messages: DataFrame) -> DataFrame:

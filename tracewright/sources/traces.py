@@ -85,8 +85,9 @@ class Traces:
         self.__dict__["plain_messages"] = messages
         self.__dict__["artifacts"] = artifacts if artifacts is not None else spark.createDataFrame(
             [], "run_id long, t long, id string, by string, type string, subtask string, hash string, status string")
-        self.__dict__["state"] = state if state is not None else spark.createDataFrame(
-            [], "run_id long, t long, agent string, key string, op string, value string")
+        state = state if state is not None else spark.createDataFrame(
+            [], "run_id long, t long, idx long, agent string, key string, op string, value string")
+        self.__dict__["state"] = state if "idx" in state.columns else state.withColumn("idx", F.lit(0).cast("long"))
         self.__dict__["goals"] = goals if goals is not None else messages.select("run_id").distinct().withColumn(
             "goal", F.lit(""))
         if agents is not None:
@@ -140,9 +141,10 @@ class Traces:
 
     @cached_property
     def state(self) -> DataFrame:
+        """State writes; ``idx`` orders those of one turn (the fixture has one)."""
         m, k = self.plain_messages, F.col("k")
         return m.filter(F.col("type") == "state_update").select(
-            "run_id", "t", F.col("sender").alias("agent"), F.concat(F.lit("key_"), (k % 4).cast("string")).alias("key"),
+            "run_id", "t", F.lit(0).cast("long").alias("idx"), F.col("sender").alias("agent"), F.concat(F.lit("key_"), (k % 4).cast("string")).alias("key"),
             F.when(k % 2 == 1, "override").otherwise("set").alias("op"),
             F.floor(F.col("value") / 100).cast("int").cast("string").alias("value"))
 
