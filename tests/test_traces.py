@@ -228,3 +228,34 @@ def test_open_assignments_count_to_the_end_of_the_run(spark):
     run = [assign("a2", "x"), *talk, deliver("a2", "x"), assign("a2", "x"), *talk, *talk]
     got = {r.t: (r.n_owner_msgs, r.n_other_msgs) for r in L.activity_counts(traces(spark, {1: run})).collect()}
     assert got == {0: (1, 1), 5: (2, 2)}
+
+
+def test_run_files_with_text_ids_tools_and_targets(spark, tmp_path):
+    import csv
+    import json
+
+    from tracewright.schema import TRAIN_CSV
+    from tracewright.sources import runs as RF
+
+    def run(name, writes, label, turn):
+        messages = [{"t": 0, "from": "a1", "to": "a2", "type": "handoff", "intent": "x", "text": "do x", "tool": "", "refs": []},
+                    {"t": 1, "from": "a2", "to": "a1", "type": "handoff", "intent": "x", "text": "done, see art_1", "tool": "search", "refs": ["art_1"]},
+                    {"t": 2, "from": "", "to": "a1", "type": "system", "intent": "", "text": "note", "tool": "", "refs": []},
+                    {"t": 3, "from": "a1", "to": "all", "type": "final", "intent": "x", "text": "the end", "tool": "", "refs": []}]
+        agents = [{"id": "a1", "role": "orchestrator", "tools": ["search", "write"]}, {"id": "a2", "role": "worker", "tools": []}]
+        state = [{"t": 1, "agent": "a2", "key": k, "op": "set", "value": v} for k, v in writes]
+        return [name, "reach x", json.dumps(agents), json.dumps(state), json.dumps(messages),
+                json.dumps([{"id": "art_1", "by": "a2", "t": 1, "type": "doc", "subtask": "x", "hash": "h", "status": "final"}]),
+                json.dumps({"type": "star", "edges": [["a1", "a2"]]}), label, 1, turn]
+
+    rows = [run("run-b", [("run_status", "completed")], "clean", -1), run("run-a", [("k", "9"), ("k", "5"), ("k", "9")], "conflict", 2)]
+    with open(tmp_path / "runs.csv", "w", newline="") as f:
+        csv.writer(f).writerows([[c.split()[0] for c in TRAIN_CSV.split(", ")], *rows])
+    tr = RF.traces_of_runs(RF.decode_runs(RF.read_runs(spark, str(tmp_path / "runs.csv"), TRAIN_CSV)))
+    b = {r.run_id: r for r in R.run_block(tr).collect()}
+    assert set(b) == {"run-a", "run-b"} and b["run-a"].n_tools_declared == 2
+    assert (b["run-b"].status_completed, b["run-a"].status_missing) == (1, 1)
+    assert (b["run-a"].state_flips, b["run-a"].state_alternating_flips) == (2, 1)
+    assert {(r.run_id, r.label, r.success, r.fault_turn, r.n) for r in tr.truth.collect()} == {("run-b", "clean", 1, -1, 4), ("run-a", "conflict", 1, 2, 4)}
+    assert {r.run_id: r.delivered for r in L.lifecycles(tr).collect()} == {"run-a": True, "run-b": True}
+    assert TU.turn_windows(tr).count() == 8

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "evaluate", "stats", "documents", "heads", "streams"]
+AREAS = ["scans", "runblocks", "lifecycles", "waits", "turns", "runfiles", "evaluate", "stats", "documents", "heads", "streams"]
 
 
 def all_queries():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import md5_int
 from tracewright.plans.scan import chunk_of, ranked
 from tracewright.schema import NESTED, OBSERVABLE, RUN_CSV, RUN_FIELDS
+from tracewright.session import written
 from tracewright.sources.traces import Traces
 
 
@@ -41,7 +42,7 @@ def flatten(decoded: DataFrame) -> dict[str, DataFrame]:
         F.coalesce("x.intent", F.lit("")).alias("intent"), F.coalesce("x.text", F.lit("")).alias("text"),
         F.coalesce("x.tool", F.lit("")).alias("tool"),
         F.coalesce("x.refs", F.array().cast("array<string>")).alias("refs"))
-    artifacts = rows("artifacts").select("run_id", "x.t", "x.id", "x.by", "x.type", "x.subtask", "x.hash", "x.status")
+    artifacts = rows("artifacts").select("run_id", "x.t", "x.id", "x.by", "x.type", F.coalesce("x.subtask", F.lit("")).alias("subtask"), "x.hash", "x.status")
     # the place in the source orders several writes of one turn
     state = decoded.select("run_id", F.posexplode("shared_state").alias("idx", "x")).select(
         "run_id", "x.t", F.col("idx").cast("long").alias("idx"), "x.agent", "x.key", "x.op", "x.value")
@@ -131,3 +132,24 @@ def token_buckets(messages: DataFrame) -> DataFrame:
     words = F.when(F.size(words) == 0, F.array(F.lit("[empty]"))).otherwise(words)
     return messages.select("run_id", "t", F.posexplode(words).alias("i", "word")).select(
         "run_id", "t", "i", (F.pmod(md5_int(F.col("word")), F.lit(32768)) + 1).alias("bucket"))
+
+
+def traces_of_runs(decoded: DataFrame, pred: DataFrame | None = None, probs: DataFrame | None = None, label_probs: DataFrame | None = None) -> Traces:
+    """Traces of decoded runs, with ids of any type; truth where the table has targets.
+
+    A run may span several rows. Predictions (run_id, label, success, fault_turn)
+    and probabilities (run_id, t, c, p; run_id, c, pa, pb) are tables at hand.
+    The event tables are written once, as many operators read them.
+    """
+    parts = {name: written(df, f"run_{name}") for name, df in flatten(decoded).items()}
+    targets = [c for c in ("label", "success", "fault_turn") if c in decoded.columns]
+    kind = F.max("topology.type") if "topology" in decoded.columns else F.lit(None).cast("string")
+    heads = written(decoded.groupBy("run_id").agg(F.coalesce(F.max("goal"), F.lit("")).alias("goal"), F.coalesce(kind, F.lit("")).alias("topo_type"),
+                                                  *[F.max(c).alias(c) for c in targets]), "run_heads")
+    tr = Traces.of_messages(parts["messages"], heads.select("run_id", "goal"), parts["artifacts"], parts["state"], parts["agents"])
+    given = {"topology": heads.select("run_id", "topo_type"), "topology_edges": parts["topology_edges"], "pred": pred, "probs": probs, "label_probs": label_probs}
+    if len(targets) == 3:
+        given["truth"] = tr.run_sizes.join(heads.select("run_id", *targets), "run_id").select(
+            "run_id", "n", "label", F.col("success").cast("long").alias("success"), F.col("fault_turn").cast("long").alias("fault_turn"))
+    tr.__dict__.update({k: v for k, v in given.items() if v is not None})
+    return tr
