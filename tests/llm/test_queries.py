@@ -21,6 +21,7 @@ def view(con, name):
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     view(con, "documents")
+    view(con, "pages")
     want = con.execute(catalog.ORACLES[name])
     columns = [d[0] for d in want.description]
     want = want.fetchall()

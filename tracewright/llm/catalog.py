@@ -72,7 +72,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 #: Outer white space of a line: what ``bytes.strip`` takes off.
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Base32 of a hexadecimal digest, five digits at a time.
+_BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)
+                         FOR i IN range(32)], '')"""
+
 ORACLES: dict[str, str] = {
+    "op4_warc": f"""
+WITH digests AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS owner FROM digests)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM firsts
+""",
     "op7_line_dedup": f"""
 WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(range(len(parts))) AS pos, trim(unnest(parts), {_BLANK}) AS line FROM parts),
