@@ -25,3 +25,8 @@ def test_entry_points_agree():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 200
+
+
+@pytest.mark.parametrize("name", ["l7_learns_rule", "l12_text_contract"])
+def test_models_learn_and_answer(spark, con, name):
+    assert compare(name, spark, con, SF) is None

@@ -212,7 +212,7 @@ register("f11_causal_metadata", "run_id,seq:l kind:s place,when_rel,log_artifact
 register("f12_token_buckets", "run_id,t,i,bucket:l", lambda tr: R.token_buckets(tr.plain_messages),
          r"""WITH w AS (SELECT run_id, t, regexp_extract_all(lower(text), '\w+') AS ws FROM messages),
   u AS (SELECT run_id, t, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
-  answer AS (SELECT run_id, t, i, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 32768 + 1 AS bucket FROM u)""")
+  answer AS (SELECT run_id, t, i, CAST('0x' || substr(md5(word), 1, 15) AS BIGINT) % 32768 + 1 AS bucket FROM u)""")
 SLOT_SQL = """seen AS (SELECT run_id, 'agent' AS kind, sender AS name, 2 * t AS pos FROM messages UNION ALL
   SELECT run_id, 'agent', receiver, 2 * t + 1 FROM messages UNION ALL SELECT run_id, 'task', intent, 2 * t FROM messages),
 firsts AS (SELECT run_id, kind, name, min(pos) AS pos FROM seen WHERE name <> '' GROUP BY 1, 2, 3),

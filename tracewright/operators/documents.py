@@ -29,7 +29,7 @@ def structure_words(tr: Traces) -> DataFrame:
     hs = tr.artifacts.filter("hash <> ''").groupBy("run_id", "hash").agg(
         count_where(F.col("subtask") != "").alias("named"), F.count(F.lit(1)).alias("k"), F.count_distinct("subtask").alias("d"))
     dup = hs.groupBy("run_id").agg(F.max((F.col("named") > 1) | ((F.col("k") > 1) & (F.col("d") == 1))).alias("dup"))
-    st = state_changes(tr).groupBy("run_id").agg(F.max("flip").alias("flip"), F.max(F.col("alt_flip") | (F.lower("op") == "override")).alias("clash"))
+    st = tr.once("state_changes", state_changes).groupBy("run_id").agg(F.max("flip").alias("flip"), F.max(F.col("alt_flip") | (F.lower("op") == "override")).alias("clash"))
     rep = framed(m.select("run_id", "t", "norm"), ["run_id"], 1, 0, lambda w: {"p": F.lag("norm").over(w)}).groupBy("run_id").agg(
         count_where((F.col("norm") != "") & (F.col("norm") == F.col("p"))).alias("rep"))
     zero = condition_streaks(m.select("run_id", "t", "goal_ov"), {"z": F.col("goal_ov") == 0}).groupBy("run_id").agg(F.max("z").alias("zero"))

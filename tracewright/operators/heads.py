@@ -234,17 +234,32 @@ def text_classifier(weights: DataFrame, labels: DataFrame, key: str, rounds: int
 
 
 def transfer_scores(tr: Traces, flags: DataFrame, names: list[str], cols: list[str], trees: int, depth: int) -> DataFrame:
-    """For each slice: fit outside it, score inside it."""
+    """For each slice: fit outside it and score inside it; the score of a two-fold fit within the slice; and what transfer costs.
+
+    ``penalty`` is the reference score less the transferred one. Slices without runs on either side give no row, those with too few runs for two folds no reference.
+    """
     x = label_rows(tr, foundation(tr))
+
+    def fit(rows: DataFrame) -> Predict:
+        return fit_forest(rows, cols, ["run_id"], trees=trees, depth=depth, classes=len(LABELS))
+
+    def score(held: DataFrame, p: DataFrame, name: str) -> DataFrame:
+        d = held.select("run_id", F.col("label").alias("yp_true")).join(decisions(p).withColumnRenamed("label", "yp"), "run_id")
+        return macro_f1(d.withColumnRenamed("yp_true", "y").withColumn("slice", F.lit(name)), ["slice"])
+
     outs = []
     for s in names:
         inside = flags.filter(F.col(s)).select("run_id")
-        held = x.join(inside, "run_id", "left_semi")
-        p = decisions(fit_forest(x.join(inside, "run_id", "left_anti"), cols, ["run_id"], trees=trees, depth=depth)(held))
-        d = held.select("run_id", F.col("label").alias("y")).join(p.withColumnRenamed("label", "yp"), "run_id").withColumn("slice", F.lit(s))
-        n = d.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-        outs.append(n.join(macro_f1(d, ["slice"]), "slice"))
-    return reduce(DataFrame.unionByName, outs)
+        held, rest = x.join(inside, "run_id", "left_semi"), x.join(inside, "run_id", "left_anti")
+        if held.isEmpty() or rest.isEmpty():
+            continue
+        folds = stratified_folds(held.select("run_id", "label"), 2, 42)
+        many = folds.select("fold").distinct().count() == 2
+        within = score(held, out_of_fold(held, folds, 2, fit) if many else fit(rest)(held), s).select(
+            "slice", F.when(F.lit(many), F.col("macro_f1")).alias("reference"))
+        n = held.select(F.lit(s).alias("slice")).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+        outs.append(n.join(score(held, fit(rest)(held), s), "slice").join(within, "slice"))
+    return reduce(DataFrame.unionByName, outs).withColumn("penalty", F.col("reference") - F.col("macro_f1"))
 
 
 def ablation(tr: Traces, blocks: dict[str, list[str]], k: int, trees: int, depth: int) -> DataFrame:

@@ -159,6 +159,7 @@ def lifecycles(tr: Traces) -> DataFrame:
 
 
 # ---- run blocks ---------------------------------------------------------------
+# Names of output columns.
 LIFECYCLE_COLS = [
     "lc_n_lifecycles", "lc_n_delivered", "lc_n_unresolved", "lc_n_unacked", "lc_n_acked_nodeliver", "lc_unresolved_ratio",
     "lc_unresolved_per_msg", "lc_unresolved_per_agent", "lc_unresolved_per_intent", "lc_unresolved_last20pct",
@@ -212,6 +213,7 @@ def lifecycle_block(tr: Traces) -> DataFrame:
     return j.select("run_id", *[z(v).alias(c) for c, v in zip(LIFECYCLE_COLS, vals)])
 
 
+# Names of output columns.
 DEADLOCK_COLS = [
     "dl_mutual_pairs", "dl_mutual_pairs_per_agent", "dl_mutual_unresolved_pairs", "dl_mutual_first_pos", "dl_tail_after_mutual",
     "dl_status_no_result", "dl_status_no_result_ratio", "dl_status_no_result_per_msg", "dl_unresolved_in_scc",
@@ -259,6 +261,7 @@ def deadlock_block(tr: Traces) -> DataFrame:
     return j.select("run_id", *[F.coalesce(v, F.lit(0)).cast("double").alias(c) for c, v in zip(DEADLOCK_COLS, vals)])
 
 
+# Names of output columns.
 TEMPORAL_COLS = [
     "ua_age_max_rel", "ua_age_mean_rel", "ua_age_p90_rel", "ua_oldest_share_gt10", "ua_oldest_share_gt25",
     "ua_oldest_share_gt50", "bd_max_rel", "bd_at25", "bd_at50", "bd_at75", "bd_at100", "bd_slope", "bd_grows_late",
@@ -386,6 +389,7 @@ def _assignment_records(tr: Traces) -> DataFrame:
         last.alias("last_event_turn"), open_end.alias("unresolved_at_end"), (last - F.col("t")).alias("lifetime"))
 
 
+# Names of output columns.
 PROFILE_COLS = [
     "n_assign", "n_unresolved", "unresolved_share", "n_unresolved_after_ack", "unresolved_after_ack_share",
     "n_unresolved_receiver_active", "n_unresolved_reassigned", "n_recovered", "recovered_share", "n_identity_match",

@@ -17,7 +17,7 @@ from tracewright.sources.traces import Traces
 
 def undelivered_near_fault(tr: Traces) -> DataFrame:
     """Runs with a never-delivered assignment: first such turn, how many, and whether it is within 2 turns of the fault."""
-    u = undelivered(tr).groupBy("run_id").agg(F.min("t").alias("first_undelivered"), F.count(F.lit(1)).alias("n_undelivered"))
+    u = tr.once("undelivered", undelivered).groupBy("run_id").agg(F.min("t").alias("first_undelivered"), F.count(F.lit(1)).alias("n_undelivered"))
     j = u.join(tr.truth.select("run_id", "label", "fault_turn"), "run_id")
     near = (F.col("label") != "clean") & (F.abs(F.col("first_undelivered") - F.col("fault_turn")) <= 2)
     return j.select("run_id", "label", "fault_turn", "first_undelivered", "n_undelivered", near.alias("near_fault"))
@@ -131,8 +131,8 @@ def off_goal_start(tr: Traces, floor: float = 0.0) -> DataFrame:
 def rule_turns(tr: Traces) -> DataFrame:
     """One column per fault class: the turn its rule points at, -1 when it finds none."""
     m = tr.messages
-    und = undelivered(tr).groupBy("run_id").agg(F.min("t").alias("und"))
-    una = first_replies(tr).groupBy("run_id").agg(F.min(F.when(F.col("reply_t").isNull(), F.col("t"))).alias("una"), F.min("t").alias("a0"))
+    und = tr.once("undelivered", undelivered).groupBy("run_id").agg(F.min("t").alias("und"))
+    una = tr.once("first_replies", first_replies).groupBy("run_id").agg(F.min(F.when(F.col("reply_t").isNull(), F.col("t"))).alias("una"), F.min("t").alias("a0"))
     second = running(m.filter("is_assign").select("run_id", "intent", "t"), ["run_id", "intent"], ["t"], {
         "before": ("max", "t", False)}, pos="t").groupBy("run_id").agg(F.min(F.when(F.col("before").isNotNull(), F.col("t"))).alias("second"))
     dup = tr.artifacts.groupBy("run_id", "hash").agg(F.count(F.lit(1)).alias("c"), F.max("t").alias("t")).filter("c > 1").groupBy(

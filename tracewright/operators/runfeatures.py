@@ -82,7 +82,7 @@ def repetition(tr: Traces) -> DataFrame:
         return c.groupBy("run_id").agg(F.max("c").alias(f"{p}_max"), _one().alias(f"{p}_k"), F.sum("c").alias(f"{p}_n"))
 
     ex, nm = dup("text", "ex"), dup("norm", "nm")
-    st = streaks(tr).groupBy("run_id").agg(F.max("streak").alias("max_consecutive_repeat"),
+    st = tr.once("streaks", streaks).groupBy("run_id").agg(F.max("streak").alias("max_consecutive_repeat"),
                                            F.max("sender_streak").alias("max_sender_repeat_streak"))
     j = join_blocks(ex, nm, st)
     n = F.col("ex_n")
@@ -152,10 +152,10 @@ def handoffs(tr: Traces) -> DataFrame:
     m = tr.messages
     base = m.groupBy("run_id").agg(count_where(F.col("is_assign")).alias("n_assign"),
                                    count_where(F.col("is_delivery")).alias("n_result"))
-    rep = first_replies(tr).withColumn("d", F.col("reply_t") - F.col("t")).groupBy("run_id").agg(
+    rep = tr.once("first_replies", first_replies).withColumn("d", F.col("reply_t") - F.col("t")).groupBy("run_id").agg(
         count_where(F.col("reply_t").isNull()).alias("unanswered_assign"), F.avg("d").alias("reply_delay_mean"),
         F.max("d").alias("reply_delay_max"))
-    und = undelivered(tr).groupBy("run_id").agg(_one().alias("undelivered_assign"))
+    und = tr.once("undelivered", undelivered).groupBy("run_id").agg(_one().alias("undelivered_assign"))
     owners = m.filter("is_assign").groupBy("run_id", "intent", "receiver").agg(_one().alias("c"))
     per_intent = owners.groupBy("run_id", "intent").agg(F.sum("c").alias("c"), _one().alias("o"))
     re = per_intent.groupBy("run_id").agg(
@@ -214,7 +214,7 @@ def state_block(tr: Traces) -> DataFrame:
         F.max("c").alias("state_max_writes_per_key"), F.max("d").alias("state_max_distinct_per_key"),
         count_where(F.col("c") >= 3).alias("state_keys_3plus"), F.max(flag(F.col("done"))).alias("status_completed"),
         F.max(flag(F.col("failed"))).alias("status_failed"), F.min(flag(F.col("key") != "run_status")).alias("status_missing"))
-    fl = state_changes(tr).groupBy("run_id").agg(count_where(F.col("flip")).alias("state_flips"),
+    fl = tr.once("state_changes", state_changes).groupBy("run_id").agg(count_where(F.col("flip")).alias("state_flips"),
                                                  count_where(F.col("alt_flip")).alias("state_alternating_flips"))
     j = gather(tr.runs.select("run_id"), per, fl).na.fill(1.0, ["status_missing"]).na.fill(0)
     return j.withColumn("state_override_ratio", ratio("state_overrides", "k")).drop("k")
@@ -333,9 +333,9 @@ def positions(tr: Traces) -> DataFrame:
         F.min(F.when(F.col("zero_run") == 2, t - 1)).alias("pos_goal_zero_run"),
         F.min(F.when((F.col("status_run") == 2) & (status_start > 0), status_start)).alias("pos_first_status_run"),
         F.min(F.when(ack, t)).alias("pos_first_ack"))
-    long = streaks(tr).filter("streak >= 2").groupBy("run_id").agg(
+    long = tr.once("streaks", streaks).filter("streak >= 2").groupBy("run_id").agg(
         F.min_by("start", F.struct(-F.col("streak"), F.col("start"))).alias("pos_streak_start"))
-    st = state_changes(tr).groupBy("run_id").agg(
+    st = tr.once("state_changes", state_changes).groupBy("run_id").agg(
         F.min("t").alias("pos_first_state_write"), F.min(F.when(F.col("op") == "override", t)).alias("pos_first_override"),
         F.min(F.when(F.col("flip"), t)).alias("pos_first_conflict_flip"))
     gw = tr.runs.select("run_id", (F.size("goal_words") > 0).alias("has_goal"))
@@ -351,6 +351,6 @@ def longest_runs(tr: Traces) -> DataFrame:
     st = m.filter("k > 0").groupBy("run_id").agg(
         F.min(F.struct(-F.col("k"), F.col("t") - F.col("k") + 1)).alias("s")).select(
             "run_id", (-F.col("s.col1")).alias("status_len"), F.col("s.col2").alias("status_start"))
-    rp = streaks(tr).groupBy("run_id").agg(F.min(F.struct(-F.col("streak"), F.col("start"))).alias("s")).select(
+    rp = tr.once("streaks", streaks).groupBy("run_id").agg(F.min(F.struct(-F.col("streak"), F.col("start"))).alias("s")).select(
         "run_id", (-F.col("s.col1")).alias("repeat_len"), F.col("s.start").alias("repeat_start"))
     return gather(tr.runs.select("run_id"), st, rp)

@@ -100,6 +100,7 @@ def state_so_far(tr: Traces) -> DataFrame:
         *names, "is_override", "changed", "alt", "is_run_status"]])
 
 
+# Names of output columns.
 CAUSAL_COLS = (
     ["abs_pos", "rel_pos", "turns_to_end", "run_len", "run_n_agents", "run_n_artifacts", "run_n_state", "run_n_intents",
      "run_n_types", "run_max_streak", "run_frac_handoff", "run_frac_status"]
@@ -160,7 +161,7 @@ def run_context(tr: Traces) -> DataFrame:
     hs = tr.artifacts.filter("hash <> ''").groupBy("run_id", "hash").agg(_one().alias("c")).groupBy("run_id").agg(
         F.sum(F.col("c") - 1).alias("dup_hashes"))
     st = tr.state.groupBy("run_id").agg(_one().alias("n_state"), F.sum(flag(F.col("op") == "override")).alias("n_override"))
-    mx = streaks(tr).groupBy("run_id").agg(F.max("streak").alias("max_streak"))
+    mx = tr.once("streaks", streaks).groupBy("run_id").agg(F.max("streak").alias("max_streak"))
     j = gather(tr.runs.select("run_id"), per, it, ty, who, ag, ar, hs, st, mx)
     return j.na.fill(0)
 
@@ -192,7 +193,7 @@ def causal_turns(tr: Traces) -> DataFrame:
     recip = reciprocal_pairs(e).select("run_id", F.greatest("first_ab", "first_ba").alias("r")).unionByName(
         e.filter("src = dst").select("run_id", F.col("first_t").alias("r"))).groupBy("run_id").agg(F.min("r").alias("recip_t"))
     x = x.join(win, ["run_id", "t"]).join(sp, ["run_id", "t"]).join(goal_history(tr), ["run_id", "t"])
-    x = x.join(streaks(tr).select("run_id", "t", "streak"), ["run_id", "t"]).join(pair_history(tr), ["run_id", "t"])
+    x = x.join(tr.once("streaks", streaks).select("run_id", "t", "streak"), ["run_id", "t"]).join(pair_history(tr), ["run_id", "t"])
     x = x.join(state_so_far(tr), ["run_id", "t"]).join(run_context(tr), "run_id").join(recip, "run_id", "left")
     na, nas, nd = F.greatest("n_agents", F.lit(1)), F.col("assigns"), F.col("deliveries")
     keyed = F.col("intent") != ""
@@ -235,6 +236,7 @@ def causal_turns(tr: Traces) -> DataFrame:
 
 
 # ---- centred windows ---------------------------------------------------------------
+# Names of output columns.
 WINDOW_COLS = [
     "w_n_msgs", "w_n_agents", "w_n_intents", "w_n_artifacts", "w_n_assign", "w_unresolved_ratio", "w_pos", "w_rel_turn",
     "w_is_first", "w_is_last", "w_dist_start", "w_dist_end", "w_dist_start_rel", "w_dist_end_rel", "w_win_n", "w_win_n_rel",

@@ -24,6 +24,7 @@ def _one() -> Column:
     return F.count(F.lit(1))
 
 
+# Names of output columns.
 WAIT_COLS = ["wg_n_wait_edges", "wg_n_unique_wait_edges", "wg_n_recip_pairs", "wg_has_recip_pair", "wg_recip_wait_share",
              "wg_n_same_subtask_recip_pairs", "wg_has_same_subtask_recip_pair", "wg_earliest_recip_pos_rel",
              "wg_max_pair_wait_events", "wg_max_pair_repeat_after_onset", "wg_max_pair_span_rel", "wg_n_agents_in_recip_pairs"]
@@ -112,10 +113,12 @@ def episodes(tr: Traces, norm: Callable[[Column], Column] = normalise) -> DataFr
         "n_deliver_msgs", idle.alias("no_progress"), F.when(idle, span).otherwise(0).alias("no_progress_span"), "to_agent")
 
 
+# Names of output columns.
 EPISODE_COLS = ["ep_n_episodes", "ep_has_episode", "ep_longest_len", "ep_longest_span_rel", "ep_repeat_event_share",
                 "ep_max_distinct_agents", "ep_has_multi_agent_cycle", "ep_n_cycle_episodes", "ep_n_interleaved_episodes",
                 "ep_interleaved_share", "ep_n_no_progress_episodes", "ep_no_progress_share", "ep_longest_no_progress_span_rel",
                 "ep_episodes_with_progress_share", "ep_earliest_start_rel", "ep_latest_end_rel"]
+# Names of output columns.
 EPISODE_PROFILE = ["n_episodes", "longest_len", "longest_span", "repeat_density", "max_gap", "same_agent_ep", "cycle2_ep",
                    "cycle3_ep", "any_cycle_ep", "ep_with_artifact", "ep_with_state", "ep_with_new_intent", "ep_no_progress",
                    "longest_no_progress_span", "longest_start_rel", "ep_repeated_same_intent", "interleaved_ep",
@@ -260,6 +263,7 @@ def resolved_waits(tr: Traces) -> DataFrame:
                   direction="next", pos="seq").select("run_id", "t", "actor", "task", F.col("d.t").alias("delivery_t"))
 
 
+# Names of output columns.
 TASK_COLS = [
     "g_known_assignments", "g_assignments_without_later_result", "g_unresolved_assignment_rate",
     "g_executor_response_without_result", "g_response_without_result_rate", "g_other_task_activity_before_result",
@@ -298,7 +302,7 @@ def task_block(tr: Traces) -> DataFrame:
         F.max("open").alias("peak"), F.sum(F.col("open") * (F.coalesce("next_t", "t1") - F.col("t"))).alias("area"))
     w = resolved_waits(tr).withColumn("x", F.col("delivery_t") - F.col("t")).groupBy("run_id").agg(
         _one().alias("w"), F.count("x").alias("wd"), F.avg("x").alias("wm"))
-    ch = state_changes(tr)
+    ch = tr.once("state_changes", state_changes)
     multi = ch.filter("key <> '' and agent <> ''").groupBy("run_id", F.lower("key").alias("key")).agg(
         (F.min("agent") != F.max("agent")).alias("m")).groupBy("run_id").agg(count_where(F.col("m")).alias("mk"))
     cw = ch.filter("cross_writer").groupBy("run_id").agg(
