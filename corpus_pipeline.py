@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontam, langid, linededup, pieces, simhash
-from tracewright.llm.common import table, written
+from tracewright.llm.common import small_batches, table, written
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether decoding these gives the text back."""
     model = pieces.load(public_tokenizers.path(TOKENIZER))
-    rows = docs.select(F.struct("*").alias("row"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"))
     text = F.col("row").getField("text")
     rows = rows.select("row", pieces.encoding(text, model)["ids"].alias("ids"))
     same = pieces.decoding(F.col("ids"), model) == F.replace(text, F.lit(pieces.MARK), F.lit(" "))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.session import written  # noqa: F401
 
 #: Bytes of one Arrow batch: bounds what a Python worker holds when texts are long.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,11 @@ from tracewright.llm.common import small_batches
 MARK = "▁"
 _NONE = np.int64(-(1 << 60))
 #: Characters solved together, and words solved side by side.
-_CHARS, _SIDE = 2 << 20, 4096
+_CHARS, _SIDE = 1 << 19, 2048
 #: Longer words are solved by themselves.
 _LONG = 48
-_KNOWN = 100_000
+#: N-best lists and solved words that a task remembers.
+_KNOWN, _WORDS_KNOWN = 10_000, 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(r"(?<! ) ")
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -69,6 +71,14 @@ def load(path: str) -> Model:
     return Model(scores, byte_ids, decoded, min(s for s, _ in scores.values()) - 10)
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Lattice:
     """Solves words; made once in each task."""
 
@@ -87,6 +97,7 @@ class Lattice:
         self.filter[self.keys >> np.uint64(44)] = True
         self.byte_ids = np.array(model.byte_ids, np.int32)
         self.paths: dict[tuple[str, int], list] = {}
+        self.forget()
 
     def _hash(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length the hashes of all runs of so many characters."""
@@ -137,52 +148,60 @@ class Lattice:
         return out
 
     # -- many words of about one length ---------------------------------------
-    def side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """Best score, loss of the second best, and the ids with their counts, of each word."""
+    def side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best score, loss of the second best, the ids of all words, and their counts.
+
+        Arrays have the place in a word before the word, so that each step runs over adjacent memory.
+        """
         n, wide = len(words), max(map(len, words))
         size = np.array([len(w) for w in words])
         codes = np.frombuffer("".join([w.ljust(wide, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, wide)
         most = min(self.longest, wide)
-        score = np.full((most, n, wide), _NONE)
-        piece = np.full((most, n, wide), -1, np.int32)
+        score = np.full((most, wide, n), _NONE)
+        piece = np.full((most, wide, n), -1, np.int32)
         for k, h in enumerate(self._hash(codes.astype(np.uint64))):
             w, a = np.nonzero(self.filter[h >> np.uint64(44)])
             key = h[w, a]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            good = (self.keys[at] == key) & (a + k + 1 <= size[w])
-            score[k, w[good], a[good]] = self.key_score[at[good]]
-            piece[k, w[good], a[good]] = self.key_id[at[good]]
+            good = np.flatnonzero((self.keys[at] == key) & (a + k + 1 <= size[w]))
+            w, a, at = w[good], a[good], at[good]
+            score[k, a, w] = self.key_score[at]
+            piece[k, a, w] = self.key_id[at]
         np.copyto(score[0], self.model.unknown, where=score[0] == _NONE)
-        before = np.full((n, wide + 1), _NONE)
-        back = np.zeros((n, wide + 1), np.int8)
-        before[:, 0] = 0
+        before = np.full((wide + 1, n), _NONE)
+        back = np.zeros((wide + 1, n), np.int8)
+        before[0] = 0
         for end in range(1, wide + 1):
+            best, last = before[end], back[end]
             for k in range(min(most, end) - 1, -1, -1):  # longer pieces first: they win ties
-                x = before[:, end - k - 1] + score[k, :, end - k - 1]
-                better = x > before[:, end]
-                back[better, end] = k
-                np.maximum(before[:, end], x, out=before[:, end])
-        after = np.full((n, wide + most + 1), _NONE)
-        after[np.arange(n), size] = 0
+                x = before[end - k - 1] + score[k, end - k - 1]
+                np.copyto(last, k, where=x > best)
+                np.maximum(best, x, out=best)
+        after = np.full((wide + most + 1, n), _NONE)
+        after[size, np.arange(n)] = 0
         for start in range(wide - 1, -1, -1):
+            inside = start < size
+            best = np.full(n, _NONE)
             for k in range(min(most, wide - start)):
-                np.maximum(after[:, start], np.where(start < size, score[k, :, start] + after[:, start + k + 1], after[:, start]), out=after[:, start])
-        best = before[np.arange(n), size]
+                np.maximum(best, score[k, start] + after[start + k + 1], out=best)
+            np.copyto(after[start], best, where=inside)
+        best = before[size, np.arange(n)]
         # the best path, from its end; its arcs are then taken out of the lattice
         rows, end, found = np.arange(n), size.copy(), []
         through = score
         for k in range(most):
-            through[k] += before[:, :wide] + after[:, k + 1 : k + 1 + wide]
+            through[k] += before[:wide]
+            through[k] += after[k + 1 : k + 1 + wide]
         while len(rows):
-            k = back[rows, end]
+            k = back[end, rows]
             start = end - k - 1
-            through[k, rows, start] = _NONE * 2
-            found.append((rows, start, piece[k, rows, start]))
+            through[k, start, rows] = _NONE * 2
+            found.append((rows, start, piece[k, start, rows]))
             rows, end = rows[start > 0], start[start > 0]
-        second = through.max(axis=(0, 2))
+        second = through.max(axis=(0, 1))
         loss = np.where(second > _NONE // 2, best - second, -_NONE)
         w, a, i = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((a, w))
+        order = np.argsort(w * np.int64(wide) + a)
         w, a, i = w[order], a[order], i[order]
         code = np.where(i < 0, codes[w, a], 0)
         many = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
@@ -196,19 +215,20 @@ class Lattice:
 
     def solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Score, loss, first place of the ids, count of ids of each word; and the ids."""
-        score, loss, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        order = np.argsort([len(w) for w in words], kind="stable")
+        score, loss, count = (np.zeros(len(words), np.int64) for _ in range(3))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        ordered = size[order]
         flat, firsts, done, i = [], np.zeros(len(words), np.int64), 0, 0
         while i < len(order):
-            head = len(words[order[i]])
+            head = int(ordered[i])
             if head > _LONG:
                 word = words[order[i]]
                 two = self.nbest(word, 2)
                 at, ids = order[i : i + 1], np.array(two[0][1], np.int32)
                 score[at], loss[at], count[at] = two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -_NONE, len(ids)
             else:
-                at = order[i : i + _SIDE]
-                at = at[[len(words[j]) <= min(_LONG, head + 1 + head // 4) for j in at]]
+                at = order[i : min(i + _SIDE, int(np.searchsorted(ordered, min(_LONG, head + 1 + head // 4), "right")))]
                 score[at], loss[at], ids, count[at] = self.side_by_side([words[j] for j in at])
             firsts[at] = done + np.cumsum(count[at]) - count[at]
             flat.append(ids)
@@ -216,6 +236,22 @@ class Lattice:
             i += len(at)
         return score, loss, firsts, count, np.concatenate([np.zeros(0, np.int32), *flat])
 
+    def learned(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the words in ``self.solved``; words not met before are solved first, all of them together."""
+        if len(self.number) > _WORDS_KNOWN:
+            self.forget()
+        number, known = self.number.__getitem__, len(self.number)
+        places = [np.fromiter(map(number, words), np.int64, len(words)) for words in parts]
+        if len(self.number) > known:
+            score, loss, first, count, ids = self.solve(list(islice(self.number, known, None)))
+            new = score, loss, first + len(self.solved[4]), count, ids
+            self.solved = [np.concatenate(x) for x in zip(self.solved, new)]
+        return places
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.solved = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.int32)]
+
     # -- texts ----------------------------------------------------------------
     def encode(self, texts: list[str | None], n: int) -> list[dict | None]:
         out = [None if t is None else {"ids": [], "score": 0, "weak": []} for t in texts]
@@ -223,11 +259,9 @@ class Lattice:
 
         def run():
             nonlocal parts, chars
-            number: dict[str, int] = {}
-            put = number.setdefault
-            places = [np.array([put(w, len(number)) for w in words], np.int64) for _, words in parts]
-            if number:
-                score, loss, first, count, ids = self.solve(list(number))
+            if parts:
+                places = self.learned([words for _, words in parts])
+                score, loss, first, count, ids = self.solved
                 for (i, words), at in zip(parts, places):
                     c = count[at]
                     ends = np.cumsum(c)
@@ -315,7 +349,11 @@ def encoding(text: Column, model: Model, n: int = 1) -> Column:
 
 def decoding(ids: Column, model: Model) -> Column:
     """Text of a column of ids; null ids give null. Space marks become spaces and the leading one, put there by encoding, goes."""
-    return F.arrow_udf(_once(model, lambda lattice, a: pa.array([None if x is None else lattice.decode(x) for x in a.to_pylist()], pa.string())), "string")(ids)
+    def use(lattice: Lattice, a: pa.Array) -> pa.Array:
+        flat, ends = a.values.to_numpy(zero_copy_only=False), a.offsets.to_pylist()
+        return pa.array([lattice.decode(flat[x:y].tolist()) if ok else None for x, y, ok in zip(ends, ends[1:], a.is_valid().to_pylist())], pa.string())
+
+    return F.arrow_udf(_once(model, use), "string")(ids)
 
 
 def encode(docs: DataFrame, model: Model, n: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
