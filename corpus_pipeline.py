@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, langid, linededup, pieces, simhash
+from tracewright.llm import decontam, langid, linededup, neardup, pieces
 from tracewright.llm.common import small_batches, table, written
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of texts whose five-word shingles are at least 0.8 similar the document with the smallest id stays."""
+    return neardup.drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
