@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 
 CHUNK_KEY = "spark.tracewright.chunkTurns"
 CHUNK_DEFAULT = 8192
+#: Spark removes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def get_spark(cores: str | int = "*", partitions: int = 8, app: str = "tracewright") -> SparkSession:
@@ -41,17 +44,19 @@ def chunk_turns(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a fresh folder; a cluster without
-    it is refused, because a machine-local folder would be lost with the machine.
+    A local session without that setting gets a fresh folder, the same one for
+    as long as it runs; a cluster without it is refused, because a machine-local
+    folder would be lost with the machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _LOCAL_FOLDERS[app]
 
 
 def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
@@ -59,9 +64,27 @@ def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataF
 
     Cuts the lineage without tying the data to any executor, and keeps column
     pruning and filter push-down for the readers. ``schema`` gives the types to
-    read with, where they are stored as others (vectors).
+    read with, where they are stored as others (vectors). The shuffle files of
+    the write are of no more use once the table is there, so Spark is told to
+    remove them with it instead of when the driver's memory happens to be cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    if before is not None:
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(schema or df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once all that was read from them is written elsewhere."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
