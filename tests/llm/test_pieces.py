@@ -1,6 +1,7 @@
 """Piece lattice against the library with the model set to its lattice type, and against all segmentations."""
 
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -125,3 +126,20 @@ def test_operator_round_trip(frame, model, monkeypatch, long_text):
             assert r.back == text.replace(pieces.MARK, " ") == library.decode(r.ids)
             assert r.nbest[0].score == r.score and r.nbest[0].edits == []
     assert pieces.encode(frame([]), model).count() == 0
+
+
+def test_ties_and_long_lines(model):
+    """Words of many equal paths: the scores are those of all segmentations, and a long line takes no longer than its length."""
+    lattice = pieces.Lattice(model)
+
+    def every(word, end):
+        return [s + t for a, s, _ in lattice.arcs(word, end) for t in every(word, a)] if end else [0]
+
+    for word in ("-" * 9, "=" * 8, "ababab", "....__", "0" * 9):
+        for n in (1, 2, 3, 7):
+            assert [s for s, _ in lattice.nbest(word, n)] == sorted(every(word, len(word)), reverse=True)[:n]
+    start = time.time()
+    for word in ("-" * 10_000, "=-" * 5_000):
+        best = lattice.nbest(word, 3)
+        assert best[0][0] == lattice.forward(word)[-1] and len(best) == 3
+    assert time.time() - start < 20

@@ -128,19 +128,28 @@ class Lattice:
         return out
 
     def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
-        """(score, ids) of the n best segmentations: A-star from the end, guided by the forward scores."""
+        """(score, ids) of the n best segmentations: A-star from the end, guided by the forward scores.
+
+        Among equal scores the path nearest to the start goes on, and of those the longest last piece, so a word of many
+        equal paths is walked through once instead of level by level. A place is left at most n times: its n best ways
+        to the end are then known, and others cannot be part of the n best.
+        """
         if (word, n) in self.paths:
             return self.paths[word, n]
         best, out = self.forward(word), []
-        heap, made = [(-best[-1], 0, 0, len(word), None)], 0
+        heap, made, left = [(-best[-1], len(word), 0, 0, None)], 0, [n] * (len(word) + 1)
         while heap and len(out) < n:
-            _, _, behind, end, path = heapq.heappop(heap)
+            _, end, _, behind, path = heapq.heappop(heap)
             if end == 0:
                 out.append((behind, self.ids(word, path)))
                 continue
+            if not left[end]:
+                continue
+            left[end] -= 1
             for start, score, i in self.arcs(word, end):
-                made += 1
-                heapq.heappush(heap, (-(best[start] + score + behind), made, behind + score, start, (start, end, i, path)))
+                if left[start]:
+                    made += 1
+                    heapq.heappush(heap, (-(best[start] + score + behind), start, made, behind + score, (start, end, i, path)))
         if len(self.paths) > _KNOWN:
             self.paths.clear()
         if len(word) <= _LONG:
