@@ -80,6 +80,15 @@ def test_links_equal_all_pairs_in_any_block_size(spark):
         assert len(links) < 20 * len(prints)
 
 
+def test_links_of_a_dense_bucket_grow_with_its_prints_only(spark):
+    each = []
+    for n in (200, 400, 4000):  # one segment is the same for all, the others lie within two bits of each other
+        ball = {(1 << a) ^ (1 << b) ^ (1 << c) for a in range(43) for b in range(a) for c in range(b)}
+        prints = sorted(ball)[:n]
+        each.append(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), block=16).count() / n)
+    assert max(each) < 64 and each[2] < 3 * each[0], each
+
+
 def test_segments_leave_one_bit():
     for radius in range(0, 9):
         cut = simhash.segments(radius)

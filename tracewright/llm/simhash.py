@@ -146,7 +146,7 @@ def _walk(group: np.ndarray, radius: int) -> tuple[list, list]:
     return src, dst
 
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 16) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 4) -> Iterator[pa.RecordBatch]:
     """Verified links out of rows (bucket, fp) sorted by bucket. A bucket has a few blocks at most."""
 
     def found(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -185,24 +185,79 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 16) -> I
         yield found(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
 
 
+def _cross(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links between different labels out of rows (bucket, fp, label) sorted by bucket: one for each two labels that meet in a bucket."""
+
+    def found(fp: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+        out, met = [], set()
+        for i in range(len(fp) - 1):
+            near = np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= radius) & (label[i + 1 :] != label[i])) + i + 1
+            for j in near[np.unique(label[near], return_index=True)[1]]:
+                two = min(label[i], label[j]), max(label[i], label[j])
+                if two not in met:
+                    met.add(two)
+                    out.append((fp[i], fp[j]))
+        return out
+
+    held: list[list[np.ndarray]] = []
+
+    def ended(rows: list[np.ndarray]) -> pa.RecordBatch:
+        g, fp, label = rows
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        pairs = [p for a, b in zip(starts, [*starts[1:], len(g)]) for p in found(fp[a:b], label[a:b])]
+        ends = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["src", "dst"])
+
+    for batch in batches:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        rows[1] = rows[1].view(np.uint64)
+        if not len(rows[0]):
+            continue
+        if held and held[-1][0][-1] == rows[0][0] == rows[0][-1]:
+            held.append(rows)
+            continue
+        rows = [np.concatenate(x) for x in zip(*held, rows)]
+        last = np.searchsorted(rows[0], rows[0][-1])
+        if last:
+            yield ended([x[:last] for x in rows])
+        held = [[x[last:] for x in rows]]
+    if held:
+        yield ended([np.concatenate(x) for x in zip(*held)])
+
+
+def _dealt(rows: DataFrame, groups, *more: str) -> DataFrame:
+    """Rows by bucket, each bucket whole and in order inside one task."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(F.explode(groups).alias("bucket"), "fp", *more).repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``prints(fp)``, distinct -> ``(src, dst)``: links within the radius that connect whatever all such links connect.
 
     Small buckets give all their links; in larger ones a walk gives one link for
-    each fingerprint it reaches, so that a dense bucket makes no quadratic output.
-    Buckets of more than ``block`` fingerprints become pairs of blocks, each a
-    group of its own, so no task holds a whole hot bucket.
+    each fingerprint it reaches. A bucket of more than ``block`` fingerprints is
+    cut into blocks, each walked by itself. What the blocks of a bucket then
+    still miss are links between fingerprints of different components: only
+    buckets that hold several components are compared by pairs of blocks, and
+    two components give one link in each pair of blocks where they meet. So a
+    dense bucket costs one link for each fingerprint, however many blocks it has.
     """
     spark = prints.sparkSession
     hot = written(_hot_buckets(prints, radius, block), "hot")
-    rows = prints.select("fp", F.inline(variants(F.col("fp"), radius))).join(hot, ["bit", "rest"], "left")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.repartition(n).select("fp", F.inline(variants(F.col("fp"), radius))).join(hot, ["bit", "rest"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    one = F.array(F.when(F.col("blocks").isNull(), F.xxhash64("bit", "rest")).otherwise(F.xxhash64("bit", "rest", own)))
+    inside = written(_dealt(rows, one).mapInArrow(lambda it: _links(it, radius), "src bigint, dst bigint"), "inside")
+    if hot.isEmpty():
+        return inside
+    labels = components(inside)
+    named = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    crowd = written(named.select("fp", "label", F.inline(variants(F.col("fp"), radius))).join(hot, ["bit", "rest"]), "crowd")
+    mixed = crowd.groupBy("bit", "rest").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("bit", "rest")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("bit", "rest", F.least(own, j), F.greatest(own, j)))
-    groups = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("bit", "rest"))).otherwise(pairs)
-    dealt = rows.select(F.explode(groups).alias("bucket"), "fp")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: _links(it, radius), "src bigint, dst bigint")
+    across = _dealt(crowd.join(mixed, ["bit", "rest"]), pairs, "label").mapInArrow(lambda it: _cross(it, radius), "src bigint, dst bigint")
+    return inside.unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE,
