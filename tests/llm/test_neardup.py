@@ -75,3 +75,16 @@ def test_rows_that_repeat_and_null_ids(frame):
 
 def test_empty_table(frame):
     assert neardup.drop_similar(frame([])).count() == 0
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 3000)).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: len(a) * rng.integers(0, 10) // 9], rng.integers(0, 1 << 63, rng.integers(0, 900)).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        found = neardup.differing(neardup.parities(a), neardup.parities(b))
+        assert found <= apart and (apart - found) % 2 == 0
+        assert neardup.differing(neardup.parities(a), neardup.parities(a)) == 0

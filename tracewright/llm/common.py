@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import written  # noqa: F401
+from tracewright.session import released, written  # noqa: F401
 
 #: Bytes of one Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_BYTES = 4 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import written
+from tracewright.llm.common import released, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,12 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = written(both.filter("src <> dst").distinct(), "edges")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("label")), "labels")
+    rows = labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least("node", F.min("dst")).alias("label")), "labels")
     while True:
         heard = both.join(labels, both["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
         near = written(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was")), "near")
         up = near.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = written(near.join(up, "label").select("node", F.least("label", "up").alias("label"), "was"), "labels")
-        if labels.filter("label <> was").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        old, rows = rows, written(near.join(up, "label").select("node", F.least("label", "up").alias("label"), "was"), "labels")
+        labels = rows.select("node", "label")
+        released(near, old)
+        if rows.filter("label <> was").isEmpty():
+            released(both)
+            return labels

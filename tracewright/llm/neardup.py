@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import keyed, same_key, small_batches, unpack, written
+from tracewright.llm.common import keyed, released, same_key, small_batches, unpack, written
 from tracewright.llm.components import components
 from tracewright.llm.simhash import BLOCK, RADIUS, links
 
@@ -29,7 +29,9 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: One text in so many is counted to find frequent shingles, which come last in the order. This changes cost, never results.
 SAMPLE, OFTEN, LIST = 16, 8, 1 << 16
-_SET = "struct<node:bigint,n:int,fp:bigint,prefix:array<bigint>>"
+_SET = "struct<node:bigint,n:int,fp:bigint,prefix:array<bigint>,bits:binary>"
+#: Least width of a set's parity bits.
+_BITS = 1024
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -66,6 +68,26 @@ def prefix(found: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray
     return found[: n + OVER * n // -UNDER + 1]
 
 
+def parities(found: np.ndarray) -> bytes:
+    """For each bit whether an odd number of hashes falls on it; a power of two of bits, at least twice as many as hashes.
+
+    Two sets differ in at least as many hashes as their parities differ in bits, of whichever of the two widths.
+    """
+    width = max(_BITS, 1 << (2 * len(found)).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(width - 1)).view(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the wider one folded to the width of the other."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, width)) ^ np.bitwise_xor.reduce(y.reshape(-1, width))).sum())
+
+
+def _differing_column(a: str, b: str) -> Column:
+    return F.arrow_udf(lambda x, y: pa.array([differing(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.int32()), "int")(a, b)
+
+
 def _bytes(a: pa.Array) -> list:
     return a.cast(pa.binary()).to_pylist()
 
@@ -83,8 +105,8 @@ def _set_column(text: Column, often: list[int]) -> Column:
         rows = []
         for t in _bytes(a):
             s = shingles(t)
-            rows.append({"node": xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), "n": len(s), "fp": _fingerprint(s), "prefix": prefix(s, by, rank).view(np.int64)})
-        return pa.array(rows, pa.struct([("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))]))
+            rows.append({"node": xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63), "n": len(s), "fp": _fingerprint(s), "prefix": prefix(s, by, rank).view(np.int64), "bits": parities(s)})
+        return pa.array(rows, pa.struct([("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]))
 
     return F.arrow_udf(batch, _SET)(text)
 
@@ -168,7 +190,14 @@ def _near_enough(rows: DataFrame) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` that are near copies; only the texts concerned are read for their whole sets."""
+    """Those of ``pairs(src, dst)`` that are near copies.
+
+    Parities, a sixteenth of a set's size, throw out most pairs first; only the texts of the others are read for their whole sets.
+    """
+    bits = lambda node, name: sets.select(F.col("node").alias(node), F.col("bits").alias(name), F.col("n").alias(f"n_{name}"))
+    both = pairs.join(bits("src", "a"), "src").join(bits("dst", "b"), "dst")
+    close = both.filter((UNDER + OVER) * _differing_column("a", "b") <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b")))
+    pairs = written(close.select("src", "dst"), "close")
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     names = written(sets.join(nodes, "node", "left_semi").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "names")
     hashes = docs.join(names, same_key(docs, names)).select("node", hashes_column(F.col("text")).alias("hashes"))
@@ -206,6 +235,7 @@ def similar(sets: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     marked = written(meet.select("token", "node", "n").join(labels, "node", "left")
                      .select("token", "node", "n", F.coalesce("label", "node").alias("label")), "marked")
+    released(meet, few)
     open_tokens = marked.groupBy("token").agg(F.count("*").alias("of"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("token", "of")
     blocks = (F.floor(F.col("of") / block) + 2).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -230,7 +260,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     often = _often(whole.select(text.alias("text")))
     rows = written(whole.select("k1", "k2", _set_column(text, often).alias("s")).select("k1", "k2", "s.*"), "sets")
     name = F.struct(F.col("k1").isNull().alias("unnamed"), "k1", "k2")
-    sets = written(rows.groupBy("node").agg(F.min(name).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "distinct")
+    sets = written(rows.groupBy("node").agg(F.min(name).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "distinct")
+    released(rows)
     labels = similar(sets, whole.select("k1", "k2", text.alias("text")), block)
     group = sets.select("node", "first").join(labels, "node", "left").select(F.coalesce("label", "node").alias("group"), "first")
     stay = written(group.groupBy("group").agg(F.min("first").alias("first")).select("first.k1", "first.k2").distinct(), "stay")
