@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, htmltext, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, warc
+from tracewright.llm import decontam, htmltext, katz, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, warc
 from tracewright.llm.common import table
 
 
@@ -65,8 +65,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op5_secret_scan, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_decontamination, op10_html_text,
+    op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op5_secret_scan, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_decontamination,
+    op10_html_text, op13_katz_score,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.
