@@ -22,6 +22,7 @@ def test_equals_sql(spark, name):
     con = duckdb.connect()
     view(con, "documents")
     view(con, "pages")
+    view(con, "embeddings")
     want = con.execute(catalog.ORACLES[name])
     columns = [d[0] for d in want.description]
     want = want.fetchall()
@@ -33,7 +34,7 @@ def test_names():
     import __spark_entry__ as entry
 
     known = entry.queries()
-    assert "pipeline" in known and all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 11))
+    assert "pipeline" in known and all(any(n.startswith(f"op{k}_") for n in known) for k in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "sentencepiece_encoding"]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, htmltext, katz, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, warc
+from tracewright.llm import decontam, htmltext, katz, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, vectorcodes, warc
 from tracewright.llm.common import table
 
 
@@ -65,13 +65,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress_with_errors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op5_secret_scan, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_decontamination,
-    op10_html_text, op13_katz_score,
+    op10_html_text, op12_vector_codes, op13_katz_score,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.
@@ -81,6 +85,33 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)
                          FOR i IN range(32)], '')"""
 
+#: Rows whose vectors are there and finite.
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Plain rounds, each one a pair of tables: nearest entries and new entries."""
+    nearest = """n{k} AS MATERIALIZED (
+  SELECT parts.vec_id, parts.p, any_value(parts.x) AS x, min({{'d': {apart}, 'e': e}}) AS best
+  FROM parts JOIN c{k} AS book USING (p) GROUP BY parts.vec_id, parts.p),"""
+    apart = "CAST(list_sum(list_transform(list_zip(parts.x, book.c), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    entries = """s{k} AS (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(len(x))) AS at FROM n{k}),
+m{k} AS (SELECT p, e, list(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END ORDER BY at) AS c
+         FROM (SELECT p, e, at, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM s{k} GROUP BY ALL) GROUP BY p, e),
+c{next} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e)),"""
+    steps = "\n".join(nearest.format(k=k, apart=apart) + ("\n" + entries.format(k=k, next=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM (SELECT vec_id, v, unnest(range(8)) AS p FROM kept)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),
+{steps}
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM c{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_warc": f"""
 WITH digests AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -89,6 +120,7 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id =
        CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM firsts
 """,
+    "op12_vector_codes": _codes_sql(),
     "op7_line_dedup": f"""
 WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(range(len(parts))) AS pos, trim(unnest(parts), {_BLANK}) AS line FROM parts),
