@@ -86,7 +86,7 @@ _BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((C
                          FOR i IN range(32)], '')"""
 
 #: Rows whose vectors are there and finite.
-_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0"
 
 
 def _codes_sql(rounds: int = 6) -> str:
@@ -94,14 +94,14 @@ def _codes_sql(rounds: int = 6) -> str:
     nearest = """n{k} AS MATERIALIZED (
   SELECT parts.vec_id, parts.p, any_value(parts.x) AS x, min({{'d': {apart}, 'e': e}}) AS best
   FROM parts JOIN c{k} AS book USING (p) GROUP BY parts.vec_id, parts.p),"""
-    apart = "CAST(list_sum(list_transform(list_zip(parts.x, book.c), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
-    entries = """s{k} AS (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(len(x))) AS at FROM n{k}),
-m{k} AS (SELECT p, e, list(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END ORDER BY at) AS c
-         FROM (SELECT p, e, at, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM s{k} GROUP BY ALL) GROUP BY p, e),
+    apart = "CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(parts.x, book.c)]) AS BIGINT)"
+    entries = """s{k} AS (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(len(x))) AS pos FROM n{k}),
+m{k} AS (SELECT p, e, list(total // n - CASE WHEN total % n < 0 THEN 1 ELSE 0 END ORDER BY pos) AS c
+         FROM (SELECT p, e, pos, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM s{k} GROUP BY ALL) GROUP BY p, e),
 c{next} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e)),"""
     steps = "\n".join(nearest.format(k=k, apart=apart) + ("\n" + entries.format(k=k, next=k + 1) if k < rounds else "") for k in range(rounds + 1))
     return f"""
-WITH kept AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+WITH kept AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE}),
 parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM (SELECT vec_id, v, unnest(range(8)) AS p FROM kept)),
 c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)),
 {steps}

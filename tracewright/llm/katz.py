@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from tracewright.llm.simhash import _pieces
 TOP = 5
 #: Pairs seen less often are counted, and their share of a context goes to its backoff weight, but they get no row of their own.
 LEAST = 2
-#: Tokens that a task packs at once, and bytes of text for each part of the key space.
-PACK, PART_BYTES = 1 << 21, 16 << 20
+#: Tokens that a task packs at once when it counts and when it looks up, and bytes of text for each part of the key space.
+PACK, ASK, PART_BYTES = 1 << 21, 1 << 20, 16 << 20
+#: Documents are scored in so many passes, one after the other, so that what a pass shuffles is gone before the next.
+PASSES = 2
 #: Keys of the start and the end of a text; words hold no space.
 START, END = (xxhash.xxh64_intdigest(name) for name in (b" start", b" end"))
-_KNOWN = 1 << 20
+_KNOWN = 1 << 18
 _COUNTED = "kind tinyint, key bigint, h bigint, w bigint, n bigint"
 _BIGRAM, _CONTEXT, _TOKEN, _OFTEN = range(4)
 
@@ -164,7 +167,7 @@ def _discounted(count: Column, factors: list[float]) -> Column:
 
 
 class Model:
-    """Tables of a fitted model: ``words(w, c, p)``, ``contexts(h, total, weight)`` and ``pairs(key, h, w, p)``; see ``fit``."""
+    """Tables of a fitted model: ``words(w, c, p)``, ``contexts(h, total, weight)`` and ``pairs(h, w, p, more)``; see ``fit``."""
 
     def __init__(self, words: DataFrame, contexts: DataFrame, pairs: DataFrame, n_tokens: int, n_words: int, unknown: float, parts: int):
         self.words, self.contexts, self.pairs = words, contexts, pairs
@@ -177,7 +180,7 @@ def fit(texts: DataFrame, text_col: str = "text", least: int = LEAST, top: int =
     * words: c occurrences, probability p; ``unknown`` is the probability of the unknown word.
     * contexts: ``total`` of their occurrences, a row of each that has pairs; ``weight`` is the backoff weight. A context none
       of whose counts is discounted or left out counts once more, so that something is left for other words.
-    * pairs: those seen at least ``least`` times. ``key`` is the hash that scoring looks up.
+    * pairs: those seen at least ``least`` times. ``more`` is what log10 p exceeds the backed-off probability by.
     """
     spark = texts.sparkSession
     text = small_batches(texts).select(F.col(f"`{text_col}`").alias("text"))
@@ -197,7 +200,7 @@ def fit(texts: DataFrame, text_col: str = "text", least: int = LEAST, top: int =
     words = words.select("w", "c", (_discounted(F.col("c"), one) / F.lit(float(total))).alias("p"))
 
     two = discounts({r.key: r.n for r in kind(_OFTEN).groupBy("key").agg(F.sum("n").alias("n")).collect()}, top)
-    kept = kind(_BIGRAM).select("key", "h", "w", _discounted(F.col("n"), two).alias("mass"))
+    kept = kind(_BIGRAM).select("h", "w", _discounted(F.col("n"), two).alias("mass"))
     pairs = written(kept.join(words.select("w", F.col("p").alias("low")), "w"), "pairs")
     totals = kind(_CONTEXT).groupBy("h").agg(F.sum("n").alias("c"))
     sums = pairs.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low"))
@@ -205,7 +208,8 @@ def fit(texts: DataFrame, text_col: str = "text", least: int = LEAST, top: int =
     contexts = sums.join(totals, "h").withColumn("total", of)
     weight = (1 - F.col("mass") / F.col("total")) / F.greatest(1 - F.col("low"), F.lit(unknown))
     contexts = written(contexts.select("h", "total", weight.alias("weight")), "contexts")
-    weighted = written(pairs.join(contexts, "h").select("key", "h", "w", (F.col("mass") / F.col("total")).alias("p"), "low", "weight"), "weighted")
+    p = F.col("mass") / F.col("total")
+    weighted = written(pairs.join(contexts, "h").select("h", "w", p.alias("p"), (F.log10(p) - F.log10("low") - F.log10("weight")).alias("more")), "weighted")
     released(counted, pairs)
     return Model(words, contexts, weighted, int(row.tokens), int(row.words), unknown, parts)
 
@@ -314,11 +318,12 @@ def _features(model: Model) -> DataFrame:
     back = model.contexts.select(F.col("h").alias("key"), log("weight").alias("back"))
     nothing = lambda c: F.coalesce(c, F.lit(0.0))
     single = words.join(back, "key", "full").select("key", (nothing("own") + nothing("back")).alias("more"), nothing("base").alias("base"), nothing("known").alias("known"))
-    double = model.pairs.select("key", (log("p") - log("low") - log("weight")).alias("more"), F.lit(0.0).alias("base"), F.lit(0.0).alias("known"))
+    key = F.arrow_udf(lambda h, w: pa.array(pair_keys(*(x.to_numpy().view(np.uint64) for x in (h, w))).view(np.int64)), "bigint")
+    double = model.pairs.select(key("h", "w").alias("key"), "more", F.lit(0.0).alias("base"), F.lit(0.0).alias("known"))
     return single.unionByName(double)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", pack: int = PACK) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", pack: int = ASK, passes: int = PASSES) -> DataFrame:
     """One row per input row: ``(id_col, n_tokens, n_known, base_score, score)``.
 
     * score: log10 of the model's probability of the whole text, the sum over its tokens and its end; a word not learned from
@@ -326,15 +331,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
       unknown word. n_known: tokens that were learned from.
     * A null text is empty: one token, its end. Repeated rows each get a row, null ids stay null, other columns are ignored,
       an empty table gives no rows. A text of any length is looked up in packs of bounded size.
+    * The rows are read from tables that the passes have written.
     """
     schema = docs.select(F.col(f"`{id_col}`").alias("id")).schema
     name, kind = schema["id"].dataType.simpleString(), _arrow_type(schema)
     rows = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     parts = model.parts
-    asked = rows.mapInArrow(lambda it: _asked(it, parts, pack, kind), _ASKED.format(id=name))
     table = _features(model).withColumn("part", _part_column("key", parts))
-    found = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(lambda a, b: _looked_up(a, b, kind), _FOUND.format(id=name))
-    summed = found.groupBy("block").applyInArrow(lambda t: _added(t, kind), f"id {name}, tokens bigint, known bigint, base double, more double")
+    done = []
+    for k in range(passes):
+        some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k)
+        asked = some.mapInArrow(lambda it: _asked(it, parts, pack, kind), _ASKED.format(id=name))
+        found = asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(lambda a, b: _looked_up(a, b, kind), _FOUND.format(id=name))
+        summed = found.groupBy("block").applyInArrow(lambda t: _added(t, kind), f"id {name}, tokens bigint, known bigint, base double, more double")
+        done.append(written(summed, "scored"))
+    summed = reduce(DataFrame.unionByName, done)
     n, v = model.n_tokens, model.n_words
     base = F.col("base") + F.col("tokens") * F.lit(math.log10(0.5 / (n + 0.5 * (v + 1))))
     whole = F.col("more") + F.col("tokens") * F.lit(math.log10(model.unknown))
