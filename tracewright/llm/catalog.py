@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontam, htmltext, katz, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, vectorcodes, warc
+from tracewright.llm import decontam, hardnegatives, htmltext, katz, langid, linededup, pieces, qualityrules, secretscan, simhash, tokencount, vectorcodes, warc
 from tracewright.llm.common import table
 
 
@@ -65,6 +65,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, number = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    vectors = vectors.withColumn("label", F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardnegatives.hard_negatives(vectors, number % 100 == 0)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress_with_errors(table(spark, sf_dir, "embeddings"))
 
@@ -75,7 +81,7 @@ def op13_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_sentencepiece, op3_language_id, op4_warc, op5_secret_scan, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_decontamination,
-    op10_html_text, op12_vector_codes, op13_katz_score,
+    op10_html_text, op11_hard_negatives, op12_vector_codes, op13_katz_score,
 )}
 
 #: Outer white space of a line: what ``bytes.strip`` takes off.
@@ -119,6 +125,19 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS owner FROM digests)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM firsts
+""",
+    "op11_hard_negatives": f"""
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+              FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.v, b.v)]) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+         QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10
 """,
     "op12_vector_codes": _codes_sql(),
     "op7_line_dedup": f"""
