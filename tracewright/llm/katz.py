@@ -42,8 +42,8 @@ PASSES = 2
 #: Keys of the start and the end of a text; words hold no space.
 START, END = (xxhash.xxh64_intdigest(name) for name in (b" start", b" end"))
 _KNOWN = 1 << 18
-_COUNTED = "kind tinyint, key bigint, h bigint, w bigint, n bigint"
-_BIGRAM, _CONTEXT, _TOKEN, _OFTEN = range(4)
+_COUNTED = "kind tinyint, h bigint, w bigint, n bigint"
+_BIGRAM, _TOKEN, _OFTEN = range(3)
 
 
 class Keys(dict):
@@ -133,20 +133,18 @@ def _pairs(batches: Iterator[pa.RecordBatch], parts: int, pack: int) -> Iterator
 
 
 def _merged(table: pa.Table, least: int, top: int) -> pa.Table:
-    """All that one part of the key space has: its pairs, what they give to the totals of contexts and words, and counts of counts."""
+    """All that one part of the key space has: its pairs, what they give to the totals of words, and counts of counts."""
     h, w, n = (np.concatenate([_numbers(v, kind) for v in table.column(name).to_pylist()]) for name, kind in (("h", "u8"), ("w", "u8"), ("n", "u4")))
     keys, at, n = _summed(pair_keys(h, w), n.astype(np.int64))
     h, w = h[at], w[at]
-    contexts, _, of_h = _summed(h, n)
     words, _, of_w = _summed(w, n)
     often, number = np.unique(n[n <= top + 1], return_counts=True)
     stay = n >= least
     none = lambda x: np.zeros(len(x), np.uint64)
-    blocks = [(_BIGRAM, keys[stay], h[stay], w[stay], n[stay]), (_CONTEXT, none(contexts), contexts, none(contexts), of_h),
-              (_TOKEN, none(words), none(words), words, of_w), (_OFTEN, often.astype(np.uint64), none(often), none(often), number)]
+    blocks = [(_BIGRAM, h[stay], w[stay], n[stay]), (_TOKEN, none(words), words, of_w), (_OFTEN, none(often), often.astype(np.uint64), number)]
     kinds = np.repeat(np.array([b[0] for b in blocks], np.int8), [len(b[1]) for b in blocks])
-    columns = [np.concatenate([b[k] for b in blocks]).view(np.int64) for k in (1, 2, 3)] + [np.concatenate([b[4] for b in blocks]).astype(np.int64)]
-    return pa.table([pa.array(kinds), *map(pa.array, columns)], ["kind", "key", "h", "w", "n"])
+    columns = [np.concatenate([b[k] for b in blocks]).view(np.int64) for k in (1, 2)] + [np.concatenate([b[3] for b in blocks]).astype(np.int64)]
+    return pa.table([pa.array(kinds), *map(pa.array, columns)], ["kind", "h", "w", "n"])
 
 
 def discounts(often: dict[int, int], top: int = TOP) -> list[float]:
@@ -199,10 +197,12 @@ def fit(texts: DataFrame, text_col: str = "text", least: int = LEAST, top: int =
     unknown = lost / total if lost else 1 / total
     words = words.select("w", "c", (_discounted(F.col("c"), one) / F.lit(float(total))).alias("p"))
 
-    two = discounts({r.key: r.n for r in kind(_OFTEN).groupBy("key").agg(F.sum("n").alias("n")).collect()}, top)
+    two = discounts({r.w: r.n for r in kind(_OFTEN).groupBy("w").agg(F.sum("n").alias("n")).collect()}, top)
     kept = kind(_BIGRAM).select("h", "w", _discounted(F.col("n"), two).alias("mass"))
     pairs = written(kept.join(words.select("w", F.col("p").alias("low")), "w"), "pairs")
-    totals = kind(_CONTEXT).groupBy("h").agg(F.sum("n").alias("c"))
+    # a word is a context as often as it is a token, and each text has one start as it has one end
+    start, end = (F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in (START, END))
+    totals = words.select(F.when(F.col("w") == end, start).otherwise(F.col("w")).alias("h"), "c")
     sums = pairs.groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("low").alias("low"))
     of = F.when(F.col("mass") < F.col("c"), F.col("c")).otherwise(F.col("c") + 1).cast("double")
     contexts = sums.join(totals, "h").withColumn("total", of)
