@@ -11,6 +11,7 @@ from tracewright.fixed import WEIGHTS
 from tracewright.operators import blend as B
 from tracewright.operators import evaluate as E
 from tracewright.operators import lifecycles as L
+from tracewright.operators import offsets as O
 from tracewright.operators import quality as Q
 from tracewright.operators import resample as RS
 from tracewright.operators import runfeatures as R
@@ -226,12 +227,70 @@ register("l14_offset_step", f"candidate:l {CC}", lambda tr: B.score_offsets(tr,
   {decided_sql('go', 'candidate')}, answer AS (SELECT * FROM dc)""")
 
 
+#: Decision rows as SQL: logarithms in units of 1e-9 and hits by class.
+DECISION_SQL = f"""dk AS (SELECT l.run_id, list(CAST(round(ln(greatest(pa, 1e-15)) * 1000000000) AS BIGINT) ORDER BY l.c) AS logs,
+  list(CASE WHEN l.c > 0 AND t.label = {sql_list(LABELS)}[1 + l.c] AND k.t >= 0 AND abs(k.t - t.fault_turn) <= 2 THEN 1 ELSE 0 END ORDER BY l.c) AS hits
+  FROM label_probs l JOIN truth t USING (run_id) LEFT JOIN peaks k ON k.run_id = l.run_id AND k.c = l.c GROUP BY l.run_id),
+dx AS MATERIALIZED (SELECT dk.*, list_position({sql_list(LABELS)}, t.label) - 1 AS y, t.success AS s, p.success AS sp, CASE WHEN robust THEN 1 ELSE 0 END AS rob
+  FROM dk JOIN truth t USING (run_id) JOIN pred p USING (run_id) JOIN slices USING (run_id))"""
+
+
+def offsets_scored_sql(name, src):
+    """Scores of offset vectors on decision rows, each by itself; src has (g, id, units, run_id, y, s, sp, rob, logs, hits)."""
+    f1 = "CASE WHEN {p} + {n} > 0 THEN 2.0 * {t} / ({p} + {n}) ELSE 0 END"
+    one, rob = f1.format(p="pred", n="n", t="tp"), f1.format(p="rpred", n="rn", t="rtp")
+    return f"""{name}d AS MATERIALIZED (SELECT g, id, y, s, sp, rob, hits, list_position(v, list_max(v)) - 1 AS c FROM (SELECT *, [logs[i + 1] + 12500000 * units[i + 1] FOR i IN range(7)] AS v FROM {src})),
+{name}k AS (SELECT g, id, k, sum(CAST(c = k AS INT)) AS pred, sum(CAST(c = k AND y = k AS INT)) AS tp, sum(CAST(y = k AS INT)) AS n,
+  sum(rob * CAST(c = k AS INT)) AS rpred, sum(rob * CAST(c = k AND y = k AS INT)) AS rtp, sum(rob * CAST(y = k AS INT)) AS rn FROM {name}d, (SELECT unnest(range(7)) AS k) GROUP BY g, id, k),
+{name}m AS (SELECT g, id, coalesce(avg({one}) FILTER (WHERE n > 0), avg({one})) AS macro_f1, coalesce(avg({rob}) FILTER (WHERE rn > 0), avg({rob})) AS robustness_f1 FROM {name}k GROUP BY g, id),
+{name}h AS (SELECT g, id, {sql_ratio('2 * count(*) FILTER (WHERE s = 1 AND sp = 1)', '(2 * count(*) FILTER (WHERE s = 1 AND sp = 1) + count(*) FILTER (WHERE s <> sp))')} AS success_f1,
+  {sql_ratio('sum(hits[c + 1])', 'count(*) FILTER (WHERE y > 0)')} AS fault_turn_hit2 FROM {name}d GROUP BY g, id),
+{name} AS MATERIALIZED (SELECT *, {WEIGHTS['macro_f1']} * macro_f1 + {WEIGHTS['robustness_f1']} * robustness_f1 + {WEIGHTS['success_f1']} * success_f1 + {WEIGHTS['fault_turn_hit2']} * fault_turn_hit2 AS composite
+  FROM {name}m JOIN {name}h USING (g, id))"""
+
+
+SWEEP_AT = [0, 8, -4, 0, 16, -32, 1]
+register("l14_breakpoint_sweep", f"class,unit:l {CC}", lambda tr: O.sweep(O.decision_rows(tr).withColumn("g", F.lit(0).cast("long")), {0: SWEEP_AT}).withColumnsRenamed({"c": "class", "u": "unit"}),
+         f"""WITH {LABS_SQL}, {SLICE_SQL}, {PEAK_SQL}, {DECISION_SQL}, grid AS (SELECT c * 100 + u AS id, c, u, [CASE WHEN i = c THEN u ELSE {SWEEP_AT}[i + 1] END FOR i IN range(7)] AS units
+  FROM (SELECT unnest(range(1, 7)) AS c), (SELECT unnest(range(-32, 33)) AS u)), each AS (SELECT 0 AS g, id, units, dx.* FROM grid, dx), {offsets_scored_sql('sc', 'each')},
+  answer AS (SELECT c AS class, u AS unit, sc.* EXCLUDE (g, id) FROM sc JOIN grid USING (id))""")
+
+
+def search_sql(fit, groups, rounds=36):
+    """The search written out: each round scores every legal neighbour of each group one by one; enough rounds for it to end. ``fit`` has decision rows with g."""
+    steps = str(list(O.STEPS))
+    out = [f"b0 AS (SELECT unnest({groups}) AS g, 0 AS id, [0, 0, 0, 0, 0, 0, 0] AS units)", "e0 AS (SELECT id, units, f.* FROM b0 JOIN fit f USING (g))", offsets_scored_sql("q0", "e0"),
+           "s0 AS MATERIALIZED (SELECT b0.g, units, 0 AS step, round(composite, 10) AS now FROM b0 JOIN q0 USING (g))"]
+    for i in range(1, rounds + 1):
+        out += [f"""b{i} AS MATERIALIZED (SELECT * FROM (SELECT g, 2 * c + CASE WHEN sign < 0 THEN 1 ELSE 0 END AS id, [CASE WHEN i = c THEN units[i + 1] + sign * {steps}[step + 1] ELSE units[i + 1] END FOR i IN range(7)] AS units
+  FROM s{i - 1}, (SELECT unnest(range(1, 7)) AS c), (SELECT unnest([1, -1]) AS sign) WHERE step < 5) WHERE list_max([abs(x) FOR x IN units]) <= 32)""",
+                f"e{i} AS (SELECT id, units, f.* FROM b{i} JOIN fit f USING (g))", offsets_scored_sql(f"q{i}", f"e{i}"),
+                f"""t{i} AS (SELECT g, units, round(composite, 10) AS top FROM q{i} JOIN b{i} USING (g, id)
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(composite, 10) DESC, list_sum([x * x FOR x IN units]), id) = 1)""",
+                f"""s{i} AS MATERIALIZED (SELECT s.g, CASE WHEN top > now THEN t.units ELSE s.units END AS units, CASE WHEN t.g IS NULL OR top > now THEN step ELSE step + 1 END AS step, greatest(now, top) AS now
+  FROM s{i - 1} s LEFT JOIN t{i} t USING (g))"""]
+    return f"fit AS MATERIALIZED ({fit}), " + ",\n".join(out) + f", found AS (SELECT g, CASE WHEN step = 5 THEN units END AS units, now FROM s{rounds})"
+
+
 def _offset_search(tr):
-    now, best = B.offset_search(tr, [0.2, 0.1])
-    return tr.spark.createDataFrame([(float(best), [float(x) for x in now])], "composite double, offsets array<double>")
+    units, best = O.search(O.decision_rows(tr).withColumn("g", F.lit(0).cast("long")), [0])[0]
+    return tr.spark.createDataFrame([(float(best), [u * O.UNIT for u in units])], "composite double, offsets array<double>")
+
+
+def _cross_fit_scores(tr):
+    decided, table = O.cross_fitted(tr)
+    held = decided.groupBy("fold").agg(F.avg(F.when(F.col("c") == F.col("y"), 1.0).otherwise(0.0)).alias("held_accuracy"))
+    return table.join(held, "fold")
 
 
-register("l14_offset_search", "composite:d offsets:ad", _offset_search)
+OFFSET_SQL = f"{LABS_SQL}, {SLICE_SQL}, {PEAK_SQL}, {DECISION_SQL}"
+register("l14_offset_search", "composite:d offsets:ad", _offset_search,
+         f"WITH {OFFSET_SQL}, {search_sql('SELECT 0 AS g, dx.* FROM dx', [0])}, answer AS (SELECT now AS composite, [0.0125 * u FOR u IN units] AS offsets FROM found)")
+register("l14_cross_fit", "fold:l offsets:ad fit_composite,held_accuracy:d", _cross_fit_scores,
+         f"""WITH {OFFSET_SQL}, {FOLD_SQL}, {search_sql('SELECT g, dx.* FROM dx JOIN folds USING (run_id), (SELECT unnest(range(3)) AS g) WHERE g <> fold', [0, 1, 2])},
+  own AS (SELECT g, y, units, [logs[i + 1] + 12500000 * units[i + 1] FOR i IN range(7)] AS v FROM dx JOIN folds USING (run_id) JOIN found ON g = fold),
+  held AS (SELECT g, avg(CASE WHEN list_position(v, list_max(v)) - 1 = y THEN 1.0 ELSE 0.0 END) AS held_accuracy FROM own GROUP BY g),
+  answer AS (SELECT g AS fold, [0.0125 * u FOR u IN units] AS offsets, now AS fit_composite, held_accuracy FROM found JOIN held USING (g))""")
 register("l15_average", "run_id,c:l p:d", lambda tr: B.averaged([tr.label_probs.select("run_id", "c", F.col("pa").alias("p")), tr.label_probs.select("run_id", "c", F.col("pb").alias("p"))]),
          "SELECT run_id, c, (pa + pb) / 2 AS p FROM label_probs")
 register("l15_validity", "runs,out_of_range,bad_sum,bad_classes:l", lambda tr: B.probability_checks(tr.label_probs.select("run_id", "c", (F.col("pa") * F.when(F.col("run_id") % 9 == 0, 2).otherwise(1)).alias("p")).filter(

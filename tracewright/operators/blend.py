@@ -69,20 +69,6 @@ def score_offsets(tr: Traces, candidates: list[list[float]]) -> DataFrame:
     return composite(tr, decided(tr, g, "candidate"), ["candidate"])
 
 
-def offset_search(tr: Traces, steps: list[float]) -> tuple[list[float], float]:
-    """Coordinate search; the driver sees one best candidate per step, never data rows."""
-    now = [0.0] * len(LABELS)
-    best = score_offsets(tr, [now]).first()["composite"]
-    for step in steps:
-        while True:
-            cands = offset_candidates(now, step)
-            top = score_offsets(tr, cands).orderBy(F.round("composite", 9).desc(), "candidate").first()
-            if top is None or top["composite"] <= best + 1e-9:
-                break
-            best, now = top["composite"], cands[top["candidate"]]
-    return now, best
-
-
 def averaged(tables: list[DataFrame]) -> DataFrame:
     """Mean of probability tables (run_id, c, p)."""
     out = tables[0]
