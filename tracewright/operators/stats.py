@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.fixed import LABELS
 from tracewright.functions.numbers import count_where, finite, flag, ratio
 from tracewright.functions.text import md5_int
 from tracewright.operators.evaluate import macro_f1
-from tracewright.operators.resample import bootstrap_cells
+from tracewright.operators.resample import bootstrap_cells, macro_f1_delta, recall_delta, split_bootstrap
 from tracewright.plans.scan import chunk_of, percentiles, ranked, running
 from tracewright.session import written
 
@@ -54,6 +55,19 @@ def recall_bootstrap(df: DataFrame, label: str, replicates: int, seed: int) -> D
     return _summary(c.groupBy("replicate").agg((hit("b") - hit("a")).alias("delta")))
 
 
+def many_resamples(df: DataFrame, replicates: int, seed: int, groups: list[str] = ()) -> DataFrame:
+    """As ``bootstrap_test`` for any number of rows and replicates, and for each group: counts are split, rows are not drawn.
+
+    The draws are others than those of ``bootstrap_test``; their distribution is the same.
+    """
+    return _summary(split_bootstrap(df, ["y", "a", "b"], macro_f1_delta(LABELS), replicates, seed, groups), groups)
+
+
+def many_recall_resamples(df: DataFrame, label: str, replicates: int, seed: int) -> DataFrame:
+    """As ``recall_bootstrap``, by split counts."""
+    return _summary(split_bootstrap(df.filter(F.col("y") == label), ["y", "a", "b"], recall_delta(label), replicates, seed))
+
+
 def fold_bootstrap(deltas: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Resampled mean of per-fold deltas (deltas: fold 0..k-1, delta)."""
     k = deltas.select(_one()).scalar()
