@@ -36,12 +36,12 @@ TOP = 5
 #: Pairs seen less often are counted, and their share of a context goes to its backoff weight, but they get no row of their own.
 LEAST = 2
 #: Tokens that a task packs at once when it counts and when it looks up, and bytes of text for each part of the key space.
-PACK, ASK, PART_BYTES = 1 << 21, 1 << 20, 16 << 20
+PACK, ASK, PART_BYTES = 1 << 20, 1 << 19, 8 << 20
 #: Documents are scored in so many passes, one after the other, so that what a pass shuffles is gone before the next.
 PASSES = 2
 #: Keys of the start and the end of a text; words hold no space.
 START, END = (xxhash.xxh64_intdigest(name) for name in (b" start", b" end"))
-_KNOWN = 1 << 18
+_KNOWN = 1 << 17
 _COUNTED = "kind tinyint, h bigint, w bigint, n bigint"
 _BIGRAM, _TOKEN, _OFTEN = range(3)
 
