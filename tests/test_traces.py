@@ -259,3 +259,52 @@ def test_run_files_with_text_ids_tools_and_targets(spark, tmp_path):
     assert {(r.run_id, r.label, r.success, r.fault_turn, r.n) for r in tr.truth.collect()} == {("run-b", "clean", 1, -1, 4), ("run-a", "conflict", 1, 2, 4)}
     assert {r.run_id: r.delivered for r in L.lifecycles(tr).collect()} == {"run-a": True, "run-b": True}
     assert TU.turn_windows(tr).count() == 8
+
+
+def replay(events):
+    """Matching one event after the other: (t, last close, first close) of each assignment; events are (t, open?, sender, receiver, intent)."""
+    by_intent, by_agent, first, last = {}, {}, {}, {}
+    for t, is_open, sender, receiver, intent in events:
+        if is_open:
+            by_agent.setdefault(receiver, []).append(t)
+            if intent:
+                by_intent.setdefault(intent, []).append(t)
+            first[t] = last[t] = None
+            continue
+        found = None
+        if intent and by_intent.get(intent):
+            found = by_intent[intent].pop()
+        else:
+            found = max((a for a in by_agent.get(sender, []) if first[a] is None), default=None)
+        if found is not None:
+            first[found] = t if first[found] is None else first[found]
+            last[found] = t
+    return {(t, last[t], first[t]) for t in first}
+
+
+def test_interleaved_matching_equals_a_replay(spark):
+    import random
+
+    from tracewright.operators import lifecycles
+
+    rng, rows, want = random.Random(7), [], set()
+    for run in range(1000):
+        style = rng.choice([(0.5, 0.5), (0.8, 0.3), (0.2, 0.2), (0.5, 0.9)])  # how many events open, how many have a task
+        agents, tasks, events = rng.randint(1, 4), rng.randint(1, 5), []
+        half = rng.random() < 0.2  # first everything opens, then everything closes: pops look many chunks back
+        for t in range(rng.choice([10, 30, 90, 200]) if run % 50 else 400):
+            is_open = t < 100 if half else rng.random() < style[0]
+            intent = f"k{rng.randrange(tasks)}" if rng.random() < style[1] else ""
+            events.append((t, is_open, f"a{rng.randrange(agents)}", f"a{rng.randrange(agents)}", intent))
+        rows += [(run, t, len(events), "handoff", s, r, i, "", "", [] if o else ["x"], "") for t, o, s, r, i in events]
+        want |= {(run, *x) for x in replay(events)}
+    names = ["run_id", "t", "n", "type", "sender", "receiver", "intent", "text", "tool", "refs", "goal"]
+    frame = spark.createDataFrame(rows, "run_id long, t long, n long, type string, sender string, receiver string, intent string, text string, tool string, refs array<string>, goal string")
+    ev = frame.select("run_id", "t", "n", "sender", "receiver", "intent", __import__("pyspark").sql.functions.expr("if(size(refs) = 0, 1, -1)").alias("delta"))
+    assert names == frame.columns
+    saved, lifecycles.handoff_events = lifecycles.handoff_events, lambda tr: ev
+    try:
+        got = {(r.run_id, r.t, r.refs_t, r.stop_t) for r in lifecycles._matched(None).collect()}
+    finally:
+        lifecycles.handoff_events = saved
+    assert got == want

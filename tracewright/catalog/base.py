@@ -72,15 +72,14 @@ def oracle(name: str) -> str | None:
         else:
             outs.append(f'CAST("{c}" AS {_DUCK[kind]}) AS "{c}"')
     body = q.sql.strip()
-    head = "WITH"
     if body.upper().startswith("WITH RECURSIVE"):
         body = body[len("WITH RECURSIVE"):]
-        ctes, head = body, "WITH RECURSIVE"
+        ctes = body
     elif body.upper().startswith("WITH"):
-        ctes, head = body[len("WITH"):], "WITH"
+        ctes = body[len("WITH"):]
     else:
         ctes = f"answer AS ({body})"
-    return f"{head} {TRACES_SQL}, {ctes} SELECT {', '.join(outs)} FROM answer"
+    return f"WITH RECURSIVE {TRACES_SQL}, {ctes} SELECT {', '.join(outs)} FROM answer"
 
 
 # ---- SQL pieces ------------------------------------------------------------

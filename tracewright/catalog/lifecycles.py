@@ -20,18 +20,23 @@ def pair_sql(p: str, src: str, keys: str) -> str:
 MATCH_SQL = f"""he AS (SELECT run_id, t, n, sender, receiver, intent, CASE WHEN is_assign THEN 1 ELSE -1 END AS delta FROM messages WHERE is_assign OR is_delivery),
 hk AS (SELECT * FROM he WHERE intent <> ''),
 {pair_sql('pk', 'hk', 'run_id, intent')},
-hr AS (SELECT *, CASE WHEN delta = 1 THEN receiver ELSE sender END AS agent FROM (
-  SELECT run_id, t, n, sender, receiver, intent, delta FROM pk WHERE (delta = 1 AND close_t IS NULL) OR (delta = -1 AND level IS NULL)
-  UNION ALL SELECT * FROM he WHERE intent = '')),
-{pair_sql('pa', 'hr', 'run_id, agent')},
-matched AS (SELECT run_id, t, n, sender, receiver, intent, close_t AS refs_t, close_sender AS refs_sender FROM pk WHERE delta = 1 AND close_t IS NOT NULL
-  UNION ALL SELECT run_id, t, n, sender, receiver, intent, close_t, close_sender FROM pa WHERE delta = 1)"""
+agent_pops AS (SELECT *, row_number() OVER (PARTITION BY run_id, agent ORDER BY t) AS k FROM (
+  SELECT run_id, sender AS agent, t FROM pk WHERE delta = -1 AND level IS NULL UNION ALL SELECT run_id, sender, t FROM he WHERE delta = -1 AND intent = '')),
+assigned AS (SELECT run_id, t, n, sender, receiver, intent, close_t, close_sender FROM pk WHERE delta = 1
+  UNION ALL SELECT run_id, t, n, sender, receiver, intent, NULL, NULL FROM he WHERE delta = 1 AND intent = ''),
+choices AS (SELECT p.run_id, p.agent, p.k, list(a.t ORDER BY a.t DESC) FILTER (WHERE a.t IS NOT NULL) AS ts FROM agent_pops p LEFT JOIN assigned a
+  ON a.run_id = p.run_id AND a.receiver = p.agent AND a.t < p.t AND (a.close_t IS NULL OR a.close_t > p.t) GROUP BY ALL),
+replay AS (SELECT DISTINCT run_id, agent, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM agent_pops
+  UNION ALL SELECT r.run_id, r.agent, c.k, list_append(r.taken, [x FOR x IN c.ts IF NOT list_contains(r.taken, x)][1]) FROM replay r JOIN choices c ON c.run_id = r.run_id AND c.agent = r.agent AND c.k = r.k + 1),
+takes AS (SELECT r.run_id, r.taken[r.k] AS t, p.t AS pop_t FROM replay r JOIN agent_pops p USING (run_id, agent, k) WHERE r.taken[r.k] IS NOT NULL),
+matched AS (SELECT a.run_id, a.t, n, sender, receiver, intent, coalesce(close_t, pop_t) AS refs_t, CASE WHEN close_t IS NOT NULL THEN close_sender WHEN pop_t IS NOT NULL THEN receiver END AS refs_sender,
+  least(close_t, pop_t) AS stop_t FROM assigned a LEFT JOIN takes k ON k.run_id = a.run_id AND k.t = a.t)"""
 LC_SQL = f"""{MATCH_SQL},
 talk AS (SELECT run_id, t, sender, intent FROM messages WHERE type <> 'handoff'),
 acks AS (SELECT m.run_id, m.t, min(x.t) FILTER (WHERE x.sender = m.receiver AND (m.intent = '' OR x.intent = '' OR x.intent = m.intent)) AS ack_t,
   count(*) FILTER (WHERE x.sender = m.receiver) AS n_owner_msgs,
   count(*) FILTER (WHERE x.sender <> m.receiver AND m.intent <> '' AND x.intent <> '' AND x.intent <> m.intent) AS n_other_msgs
-  FROM matched m LEFT JOIN talk x ON x.run_id = m.run_id AND x.t > m.t AND x.t < coalesce(m.refs_t, m.n) GROUP BY 1, 2),
+  FROM matched m LEFT JOIN talk x ON x.run_id = m.run_id AND x.t > m.t AND x.t < coalesce(m.stop_t, m.n) GROUP BY 1, 2),
 arts AS (SELECT m.run_id, m.t, min(a.t) FILTER (WHERE a.maker = m.receiver) AS to_t, min(a.t) FILTER (WHERE a.maker = m.sender) AS from_t
   FROM matched m JOIN artifacts a ON a.run_id = m.run_id AND a.subtask = m.intent AND m.intent <> '' AND a.t > m.t GROUP BY 1, 2),
 lc0 AS (SELECT m.*, ack_t, ack_t IS NOT NULL AS acked, n_owner_msgs, n_other_msgs, refs_t IS NOT NULL OR to_t IS NOT NULL OR from_t IS NOT NULL AS delivered,

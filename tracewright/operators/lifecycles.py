@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from tracewright.functions.numbers import count_where, flag, ratio
 from tracewright.operators.graph import run_nodes, scc_members
 from tracewright.operators.matching import pair_edges, reciprocal_pairs
 from tracewright.plans.gather import gather
-from tracewright.plans.scan import bracket_levels, chain_lengths, lookup, percentiles, running
+from tracewright.plans.scan import bracket_levels, chain_lengths, chunk_of, lookup, percentiles, running
+from tracewright.session import written
 from tracewright.sources.traces import Traces
 
 LC = ["run_id", "t", "n", "sender", "receiver", "intent"]
@@ -39,17 +43,86 @@ def match_newest(tr: Traces) -> DataFrame:
     return p.filter("delta > 0").select(*LC, F.col("close.t").alias("deliver_t"))
 
 
+def _replayed(table: pa.Table) -> pa.Table:
+    """Events of one agent inside one chunk, by turn: a pop takes the newest item that is still open.
+
+    Items that ended before a pop are of no use to later ones either, so each event is handled once. Pops that find nothing
+    stay pops, for the chunks before.
+    """
+    rows = sorted(table.to_pylist(), key=lambda r: (r["t"], r["kind"]))
+    stack, out = [], []
+    for row in rows:
+        if row["kind"] == "item":
+            stack.append(row)
+            out.append(row)
+            continue
+        while stack and stack[-1]["until"] is not None and stack[-1]["until"] < row["t"]:
+            stack.pop()["kind"] = "ended"
+        if stack:
+            stack.pop().update(kind="taken", pop_t=row["t"])
+        else:
+            out.append(row)
+    return pa.Table.from_pylist(out, schema=table.schema)
+
+
+def _taken(items: DataFrame, pops: DataFrame) -> DataFrame:
+    """Items ``(run_id, agent, t, until)`` taken by pops ``(run_id, agent, t)``: ``(run_id, t, pop_t)``.
+
+    In turn order a pop takes its agent's newest item that no pop took before and whose ``until`` has not passed. Every chunk
+    of turns first settles what it can by itself: its own items are newer than all before, so this depends on nothing
+    else. What is left of it are open items and pops that look further back. These go in rounds to the nearest chunk before
+    with open items of the agent; a pop waits while an earlier one is still looking at a later chunk, so each chunk meets
+    its pops in turn order. A task holds the items of one agent in one chunk, and as many pops as they can serve.
+    """
+    ks = ["run_id", "agent"]
+    c = chunk_of(items, "t")
+    none = F.lit(None).cast("long")
+    both = items.select(*ks, c.alias("c"), F.lit("item").alias("kind"), "t", "until", none.alias("pop_t")).unionByName(
+        pops.select(*ks, c.alias("c"), F.lit("pop").alias("kind"), "t", none.alias("until"), none.alias("pop_t")))
+    replayed = lambda df: df.groupBy(*ks, "c").applyInArrow(_replayed, df.schema)
+    first = written(replayed(both), "replayed")
+    taken = [first.filter("kind = 'taken'")]
+    open_, wait = first.filter("kind = 'item'"), first.filter("kind = 'pop'")
+    while True:
+        places = open_.groupBy(*ks, "c").agg(_one().alias("k")).select(*ks, F.col("c").alias("t"), F.col("c").alias("at"), "k")
+        ask = wait.select(*ks, F.col("c").alias("t"), F.col("t").alias("pop"))
+        found = lookup(ask, places, ks, {"to": ("last", F.struct("at", "k"))}, direction="prev").filter("to is not null")
+        found = found.select(*ks, F.col("pop").alias("t"), F.col("to.at").alias("c"), F.col("to.k").alias("k"))
+        later = running(found, ks, ["t"], {"later": ("max", "c")}, pos="t")
+        go = running(later.filter("c >= later"), [*ks, "c"], ["t"], {"nth": ("sum", F.lit(1).cast("long"))}, pos="t")
+        found = written(later.join(go.select(*ks, "t", "nth"), [*ks, "t"], "left"), "pops")
+        if found.isEmpty():
+            break
+        served = found.filter("nth <= k")
+        here = served.select(*ks, "c").distinct()
+        met = open_.join(here, [*ks, "c"], "left_semi").unionByName(
+            served.select(*ks, "c", F.lit("pop").alias("kind"), "t", none.alias("until"), none.alias("pop_t")))
+        met = written(replayed(met), "met")
+        taken.append(met.filter("kind = 'taken'"))
+        as_pop = lambda df, place: df.select(*ks, place.alias("c"), F.lit("pop").alias("kind"), "t", none.alias("until"), none.alias("pop_t"))
+        # those that waited look from behind the place they had found, the others from that place on
+        wait = as_pop(found.filter("nth is null"), F.col("c") + 1).unionByName(as_pop(found.filter("nth > k"), F.col("c"))).unionByName(met.filter("kind = 'pop'"))
+        open_ = written(open_.join(here, [*ks, "c"], "left_anti").unionByName(met.filter("kind = 'item'")), "open")
+    return reduce(DataFrame.unionByName, taken).select("run_id", "t", "pop_t")
+
+
 def _matched(tr: Traces) -> DataFrame:
-    """Two passes: by intent, then what is left by agent (newest open task of the delivering agent)."""
+    """One row per assignment: ``refs_t`` and ``refs_sender`` of the delivery that closed it last, ``stop_t`` of the first one.
+
+    A delivery with a task closes the newest assignment of the task that no delivery of that task closed before, whatever
+    its agent did meanwhile; without such an assignment, or without a task, it closes its agent's newest assignment that is
+    open at that turn. So an assignment may be closed by its agent first and by its task later.
+    """
     ev = handoff_events(tr)
-    first = _paired(ev.filter("intent <> ''"), ["run_id", "intent"])
-    done = first.filter("delta > 0 and close is not null")
-    rest = first.filter("(delta > 0 and close is null) or (delta < 0 and level is null)").select(*ev.columns)
-    rest = rest.unionByName(ev.filter("intent = ''")).withColumn(
-        "agent", F.when(F.col("delta") > 0, F.col("receiver")).otherwise(F.col("sender")))
-    second = _paired(rest, ["run_id", "agent"]).filter("delta > 0")
-    cols = [*LC, F.col("close.t").alias("refs_t"), F.col("close.sender").alias("refs_sender")]
-    return done.select(*cols).unionByName(second.select(*cols))
+    keyed = _paired(ev.filter("intent <> ''"), ["run_id", "intent"])
+    ends = keyed.filter("delta > 0").select(*LC, F.col("close.t").alias("until"), F.col("close.sender").alias("until_sender"))
+    ends = written(ends.unionByName(ev.filter("delta > 0 and intent = ''").select(*LC), allowMissingColumns=True), "assigned")
+    pops = keyed.filter("delta < 0 and level is null").select("run_id", F.col("sender").alias("agent"), "t").unionByName(
+        ev.filter("delta < 0 and intent = ''").select("run_id", F.col("sender").alias("agent"), "t"))
+    taken = _taken(ends.select("run_id", F.col("receiver").alias("agent"), "t", "until"), written(pops, "agent_pops"))
+    j = ends.join(taken, ["run_id", "t"], "left")
+    return j.select(*LC, F.coalesce("until", "pop_t").alias("refs_t"), F.when(F.col("until").isNotNull(), F.col("until_sender")).when(
+        F.col("pop_t").isNotNull(), F.col("receiver")).alias("refs_sender"), F.least("until", "pop_t").alias("stop_t"))
 
 
 def matched(tr: Traces) -> DataFrame:
@@ -76,7 +149,7 @@ def acknowledgements(tr: Traces) -> DataFrame:
     nxt = lookup(pts, ev, ["run_id", "k"], {"ack_t": ("min", "t")}, direction="next")
     per = nxt.groupBy("run_id", "t").agg(F.min("ack_t").alias("ack_t"))
     j = matched(tr).join(per, ["run_id", "t"], "left")
-    ok = F.col("ack_t") < F.coalesce("refs_t", "n")
+    ok = F.col("ack_t") < F.coalesce("stop_t", "n")
     return j.select(*LC, "refs_t", F.when(ok, F.col("ack_t")).alias("ack_t"))
 
 
@@ -91,7 +164,7 @@ def activity_counts(tr: Traces) -> DataFrame:
     parts = _keys(part(_key("s", "receiver"), 1, 1), F.when(keyed, part(F.lit("all"), 0, 1)),
                   F.when(keyed, part(_key("i", "intent"), 0, -1)), F.when(keyed, part(_key("r", "receiver"), 0, -1)),
                   F.when(keyed, part(_key("p", "receiver", "intent"), 0, 1)))
-    pts = matched(tr).select("run_id", F.col("t").alias("t0"), F.col("refs_t").alias("stop"),
+    pts = matched(tr).select("run_id", F.col("t").alias("t0"), F.col("stop_t").alias("stop"),
                              F.explode(parts).alias("x")).select("run_id", "t0", "stop", "x.*")
     pts = pts.select("run_id", "t0", "k", "own", "sign", F.explode(F.array(
         F.struct(F.col("t0").alias("t"), F.lit(-1).alias("end")),
