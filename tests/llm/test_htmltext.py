@@ -55,3 +55,19 @@ def test_articles_are_not_template(spark):
 
 def test_empty_table(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_broken_markup_takes_time_by_its_length():
+    import time
+
+    many = ["<a href=\"" * 120_000, "<b>" * 300_000, "<" * 1_000_000, "<!" * 500_000, "<a '" * 250_000, "<b>" * 100_000 + "<option></option>" * 30_000, "<b>" * 50_000 + "</i>" * 200_000,
+            "<nav>" + "<b>" * 100_000 + "<article>" * 60_000, "<p>" * 300_000, "<ul>" + "<li><b>" * 120_000, "<script>" * 100_000, "<!--" * 250_000, "&amp" * 250_000, "<div class='" * 80_000]
+    for source in many:
+        start = time.time()
+        htmltext.Page(source)
+        assert time.time() - start < 8, source[:20]
+
+
+def test_an_endless_quote_hides_nothing_before_it():
+    page = htmltext.Page("<article><p title=\"a > b\">one <i>two</i></p><p>three <a href=\"x>four</a></p></article>")
+    assert [t for t, _, _ in page.blocks] == ["one two", "three four"]

@@ -55,3 +55,22 @@ def test_training_lowers_the_loss():
     net = langid.train(texts, [k % 2 for k in range(200)], ["a", "b"], epochs=6)
     x = np.stack([np.frombuffer(t.ljust(langid.WINDOW, b"\0"), np.uint8) for t in texts])
     assert (net.probabilities(x).argmax(1) == np.arange(200) % 2).all()
+
+
+def test_every_language_is_learned_and_repeated_rows_count_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, places, languages: seen.append((texts, places, languages)))
+    rows = [(i, f"some text number {i} of language {i % 250}", f"l{i % 250}") for i in range(2000)]
+    rows += [(7, "the same row again and again", "often")] * 3000 + [(9, None, "l1"), (11, "123 456", "l2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs)
+    texts, places, languages = seen[0]
+    held = {i for i in range(2000) if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
+    want = {r[2] for r in rows if r[1] and r[0] not in held and r[1] != "123 456"}
+    assert set(languages) == want and {languages[p] for p in places} == want
+    if 7 not in held:
+        assert sum(languages[p] == "often" for p in places) == 1
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 300)
+    langid.fit(docs)
+    assert set(seen[1][2]) == want and len(seen[1][0]) == len(want)

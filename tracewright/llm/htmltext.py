@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -43,7 +44,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 MAIN = frozenset(("article", "main"))
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*"|'[^']*')*+)>""", re.S)
+#: After a quote or a tag that never ends: quotes are characters like others, and no tag goes beyond the next one's start.
+_SHORT_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^<>]*>|<\?[^<>]*>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""", re.S)
+_START = re.compile(r"<[!?/a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -76,32 +80,43 @@ def _attributes(text: str) -> tuple[bool, str]:
     return out, label
 
 
+_NOWHERE = ("", 0, False, False, None)
+
+
 class Page:
     """One pass over the markup: text blocks with what is known of them, and the paths of elements."""
 
     def __init__(self, source: str):
-        #: (tag, path, out, main) of each open element.
-        self.stack: list[tuple[str, str, bool, bool]] = []
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.paths: dict[str, int] = {}
+        #: (tag, hash of its path, out, main, place of the first element that is out) of each open element.
+        self.stack: list[tuple[str, int, bool, bool, int | None]] = []
+        self.blocks: list[tuple[str, bool, int]] = []
+        self.paths: dict[int, int] = {}
         self.parts: list[str] = []
-        self.where = ("", "", False, False)
-        at = 0
+        self.names: Counter[str] = Counter()
+        self.where = _NOWHERE
+        at, tags, seen = 0, _TAG, 0
         while True:
-            tag = _TAG.search(source, at)
-            if tag is None:
+            start = _START.search(source, seen)
+            if start is None:
                 self.text(source[at:])
                 break
+            tag = tags.match(source, start.start())
+            if tag is None and tags is _TAG:  # it ran to the end of the page: nothing shall do so again
+                tags = _SHORT_TAG
+                tag = tags.match(source, start.start())
+            if tag is None:
+                seen = start.end()
+                continue
             self.text(source[at : tag.start()])
-            at = tag.end()
+            at = seen = tag.end()
             if tag[2]:
                 name = tag[2].lower()
                 if tag[1]:
                     self.close(name)
                 elif name in RAW:
                     end = _RAW_END[name].search(source, at)
-                    at = end.end() if end else len(source)
-                    self.paths[self.where[1] + "/" + name] = self.paths.get(self.where[1] + "/" + name, 0) + 1
+                    at = seen = end.end() if end else len(source)
+                    self.count(_signed(f"{self.where[1]}/{name}"))
                 else:
                     self.open(name, tag[3])
         self.flush()
@@ -117,8 +132,14 @@ class Page:
                 self.blocks.append((text, self.where[3], self.where[1]))
             self.parts = []
 
-    def set_top(self) -> None:
-        self.where = self.stack[-1] if self.stack else ("", "", False, False)
+    def count(self, path: int) -> None:
+        self.paths[path] = self.paths.get(path, 0) + 1
+
+    def cut(self, size: int) -> None:
+        """Close all but the first ``size`` open elements."""
+        while len(self.stack) > size:
+            self.names[self.stack.pop()[0]] -= 1
+        self.where = self.stack[-1] if self.stack else _NOWHERE
 
     def open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
@@ -128,38 +149,37 @@ class Page:
         if name in VOID:
             return
         if name in MAIN:  # a menu or header that was never closed ends where the article begins
-            first = next((i for i, x in enumerate(self.stack) if x[2]), None)
+            first = self.where[4]
             if first is not None and self.stack[first][0] in ("nav", "header", "footer"):
-                del self.stack[first:]
+                self.cut(first)
         elif name in BLOCKS and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
-        for i in range(len(self.stack) - 1, -1, -1):  # an open item ends where the next one begins
-            top = self.stack[i][0]
-            if top in CLOSES.get(name, ()):
-                del self.stack[i:]
-                break
-            if top in BLOCKS or top == "td":
-                break
-        self.set_top()
-        _, path, out, main = self.where
+            self.cut(len(self.stack) - 1)
+        ends = CLOSES.get(name, ())
+        if any(self.names[x] for x in ends):
+            for i in range(len(self.stack) - 1, -1, -1):  # an open item ends where the next one begins
+                top = self.stack[i][0]
+                if top in ends:
+                    self.cut(i)
+                    break
+                if top in BLOCKS or top == "td":
+                    break
+        _, path, out, main, first = self.where
         gone, label = _attributes(attributes)
-        path = f"{path}/{name}{label}"
+        path = _signed(f"{path}/{name}{label}")
         main = main or name in MAIN
         out = out or name in OUT or name == "header" and not main or gone and name not in ("html", "body", "main") and not (name == "article" and "comment" not in label)
-        self.paths[path] = self.paths.get(path, 0) + 1
-        self.stack.append((name, path, out, main))
-        self.where = self.stack[-1]
+        self.count(path)
+        self.where = name, path, out, main, len(self.stack) if out and first is None else first
+        self.stack.append(self.where)
+        self.names[name] += 1
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
         elif name in ("td", "th") and self.parts:
             self.parts.append(" ")
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
-                break
-        self.set_top()
+        if self.names[name]:
+            self.cut(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name))
 
 
 _BLOCK = pa.struct([("text", pa.string()), ("token", pa.int64())])
@@ -173,7 +193,7 @@ def _parse(urls: pa.Array, sources: pa.Array) -> pa.Array:
     rows = []
     for url, source in zip(urls.to_pylist(), sources.to_pylist()):
         page = Page(source or "")
-        blocks, tokens = [], {_signed(p): (True, n) for p, n in page.paths.items()}
+        blocks, tokens = [], {p: (True, n) for p, n in page.paths.items()}
         # an article or main element, if there is one with text, holds the page's text
         inside = any(main for _, main, _ in page.blocks)
         for text, main, path in page.blocks:
@@ -211,7 +231,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
       elements and reader comments are left out, by element, role, class and id.
     * If an article or main element has text, the page's text is what is in it. Other pages give all blocks that are not
       of the host's template.
-    * Null markup is empty; a page without text gives an empty string; a url without a host stands with the others of
+    * Broken markup is read once from start to end: from the first quote or tag that never ends, quotes are characters like
+      others; elements that are never closed stay open. Time grows with the length of the markup, whatever is in it.
+    * Null markup is empty, and an empty table gives no rows; a page without text gives an empty string; a url without a host stands with the others of
       that kind. Repeated rows each give a row. Other columns are ignored.
     """
     rows = small_batches(pages).select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),

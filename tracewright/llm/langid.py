@@ -26,8 +26,8 @@ EMBEDDING = 8
 #: Labelled texts of each language that the network is fitted on, and windows taken from each.
 SAMPLE_TEXTS = 500
 SAMPLE_WINDOWS = 4
-#: Languages with the most labelled texts that are learned.
-LANGUAGES = 200
+#: Texts of all languages together, where there are many languages.
+SAMPLE_ALL = 100_000
 EPOCHS = 14
 _BATCH = 128
 #: Windows that are run through the network at once.
@@ -134,21 +134,24 @@ def _cuts(batches):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Fit on a bounded sample: of each language the SAMPLE_TEXTS labelled texts outside fold 0 whose ids hash smallest.
+    """Fit on a bounded sample: of each language the labelled texts outside fold 0 whose hashes of id and text are smallest.
 
-    Only text and label are used. At most LANGUAGES languages are learned, those with most such texts.
+    SAMPLE_TEXTS of each language, or fewer where so many languages would make more than SAMPLE_ALL, but one of each at
+    least: every language that has a text is learned. Only text and label are used; rows that repeat id, text and label count
+    once. The driver gets one row for each language and the sample's windows.
     """
     known = small_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & (fold(F.col("id")) != 0) & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = known.select("text", "lang", F.xxhash64("id", "text").alias("hash"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     languages = sorted(counts)
-    # a hash range that holds about twice the texts wanted of each language: few rows reach the ranking, however many there are
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * SAMPLE_TEXTS / counts[k]))]) if languages else F.lit(None).cast("map<string,double>")
-    order = Window.partitionBy("lang").orderBy("hash")
-    near = known.select("id", "lang", F.xxhash64("id").alias("hash")).filter(F.pmod("hash", F.lit(1 << 32)) < share[F.col("lang")] * (1 << 32))
-    picked = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_TEXTS)
-    chosen = known.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi")  # SAMPLE_TEXTS x LANGUAGES ids at most
-    rows = chosen.select("text", "lang").mapInArrow(_cuts, "text binary, lang string").collect()
+    each = max(1, min(SAMPLE_TEXTS, SAMPLE_ALL // max(1, len(languages))))
+    # a hash range that holds over twice the texts wanted of each language: few rows reach the ranking, however many there are
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * each + 20) / max(1, counts[k]))) for k in languages], "lang string, share double")
+    near = known.join(shares, "lang").filter(F.pmod("hash", F.lit(1 << 32)) < F.when(F.col("share") >= 0.5, 1.0).otherwise(F.col("share")) * (1 << 32))
+    near = near.groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    picked = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("nth") <= each)
+    rows = picked.select("text", "lang").mapInArrow(_cuts, "text binary, lang string").collect()
     place = {x: i for i, x in enumerate(languages)}
     rows = sorted((bytes(r.text), place[r.lang]) for r in rows if r.lang in place)
     return train([t for t, _ in rows], [k for _, k in rows], languages)
