@@ -10,6 +10,7 @@ from tracewright.catalog.turns import DECAY_SQL
 from tracewright.catalog.waits import A21_SQL, EP_SQL
 from tracewright.fixed import FAULTS, WEIGHTS
 from tracewright.operators import evaluate as E
+from tracewright.operators import resample as RS
 from tracewright.operators import lifecycles as L
 from tracewright.operators import localize as K
 from tracewright.operators import runfeatures as R
@@ -93,9 +94,11 @@ def by_rule(name, src):
 register("k5_rule_turns", "run_id," + ",".join(FAULTS) + ":l", K.rule_turns, f"WITH {RULE_SQL}, answer AS (SELECT * FROM rules)")
 register("k5_rule_localiser", "run_id:l label:s fault_turn:l", lambda tr: K.rule_localiser(tr, tr.pred),
          f"WITH {RULE_SQL}, {by_rule('answer', 'pred')}")
-register("k8_hybrid_by_class", "run_id:l label:s fault_turn:l", lambda tr: K.hybrid_by_class(tr, tr.pred),
+#: A map chosen by hand; ``k8_source_map`` chooses one on the other folds.
+BY_HAND = {"dropped_handoff": "peak", "duplicated_work": "rule", "deadlock": "peak", "conflict": "rule", "goal_drift": "peak", "runaway_loop": "rule"}
+register("k8_hybrid_by_class", "run_id:l label:s fault_turn:l", lambda tr: K.hybrid_by_class(tr, tr.pred, BY_HAND),
          f"WITH {RULE_SQL}, {PEAK_SQL}, {by_rule('br', 'pred')}, {at_peak('bp', 'pred')}, answer AS (SELECT br.run_id, br.label, CASE WHEN br.label IN ("
-         + ", ".join(f"'{c}'" for c, s in K.HYBRID_SOURCES.items() if s == "rule") + ") THEN br.fault_turn ELSE bp.fault_turn END AS fault_turn FROM br JOIN bp USING (run_id))")
+         + ", ".join(f"'{c}'" for c, s in BY_HAND.items() if s == "rule") + ") THEN br.fault_turn ELSE bp.fault_turn END AS fault_turn FROM br JOIN bp USING (run_id))")
 register("k9_confident_peak", "run_id:l label:s fault_turn:l", lambda tr: K.confident_peak(tr, tr.pred, 0.26),
          f"WITH {RULE_SQL}, {PEAK_SQL}, {by_rule('br', 'pred')}, {at_peak('bp', 'pred')}, answer AS (SELECT br.run_id, br.label, "
          "CASE WHEN br.label <> 'clean' AND bp.p >= 0.26 THEN bp.fault_turn ELSE br.fault_turn END AS fault_turn FROM br JOIN bp USING (run_id))")
@@ -180,6 +183,19 @@ def _folded(tr):
 
 FOLD_SQL = "folds AS (SELECT run_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('42_' || run_id), run_id) - 1) % 3 AS fold FROM truth)"
 FAB_SQL = f"{AB_SQL}, {FOLD_SQL}, fab AS (SELECT ab.*, fold FROM ab JOIN folds USING (run_id)), {macro('ma', 'fab', 'fold', yp='a')}, {macro('mb2', 'fab', 'fold', yp='b')}, fd AS (SELECT fold, ma.macro_f1 AS f1_a, mb2.macro_f1 AS f1_b, mb2.macro_f1 - ma.macro_f1 AS delta FROM ma JOIN mb2 USING (fold))"
+def _sources(tr):
+    return K.named_sources(tr, tr.pred), RS.stratified_folds(tr.truth, 3, 42), 3
+
+
+MAP_SQL = f"""{RULE_SQL}, {PEAK_SQL}, {FOLD_SQL}, {by_rule('br', 'pred')}, {at_peak('bp', 'pred')},
+  src AS (SELECT 'peak' AS source, 0 AS place, run_id, label, fault_turn FROM bp UNION ALL SELECT 'rule', 1, run_id, label, fault_turn FROM br),
+  smap AS (SELECT g AS fold, s.label, source, count(*) FILTER (WHERE t.label = s.label AND abs(s.fault_turn - t.fault_turn) <= 2) AS hits, count(*) AS runs
+    FROM src s JOIN truth t USING (run_id) JOIN folds f USING (run_id), (SELECT unnest(range(3)) AS g) WHERE f.fold <> g AND t.label <> 'clean' AND s.label <> 'clean' GROUP BY g, s.label, source, place
+    QUALIFY row_number() OVER (PARTITION BY g, s.label ORDER BY hits DESC, place) = 1)"""
+register("k8_source_map", "fold:l label,source:s hits,runs:l", lambda tr: K.source_map(tr, *_sources(tr)), f"WITH {MAP_SQL}, answer AS (SELECT * FROM smap)")
+register("k8_hybrid_by_fold", "run_id:l label:s fold:l source:s fault_turn:l", lambda tr: K.hybrid_by_fold(tr, *_sources(tr)),
+         f"""WITH {MAP_SQL}, answer AS (SELECT s.run_id, s.label, f.fold, CASE WHEN s.label = 'clean' THEN 'none' ELSE s.source END AS source, CASE WHEN s.label = 'clean' THEN -1 ELSE s.fault_turn END AS fault_turn
+  FROM src s JOIN folds f USING (run_id) LEFT JOIN smap m ON m.fold = f.fold AND m.label = s.label WHERE s.source = coalesce(m.source, 'peak'))""")
 register("e14_fold_deltas", "fold:l f1_a,f1_b,delta:d win:b", lambda tr: E.by_group_delta(_folded(tr), "fold").withColumn("win", F.col("delta") > 0),
          f"WITH {FAB_SQL}, answer AS (SELECT *, delta > 0 AS win FROM fd)")
 

@@ -80,8 +80,7 @@ register("t6_wilcoxon", "n:l w_plus,p:d", lambda tr: T.wilcoxon_exact(_seeds(tr)
   s AS (SELECT sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, sum(rk) AS z, count(*) AS n FROM r), p AS (SELECT unnest(range(CAST(pow(2, n) AS BIGINT))) AS bits FROM s),
   g AS (SELECT bits, sum(CASE WHEN (bits >> i) & 1 = 1 THEN rk ELSE 0 END) AS got FROM p, r GROUP BY 1),
   answer AS (SELECT any_value(n) AS n, any_value(w) AS w_plus, avg({b('least(got, z - got) <= least(w, z - w)')}) AS p FROM g, s)""")
-CORR = ["sender_entropy", "dup_text_max", "norm_dup_max", "intent_entropy", "kw_wait", "goal_ov_mean", "n_assign", "reply_delay_mean", "undelivered_assign", "dup_hash_pairs",
-        "state_flips", "g_edges", "g_max_pair", "g_pingpong", "tail_status_share"]
+CORR = [c for c in ALL_COLS if c != "n_messages"]
 
 
 def corr_sql():

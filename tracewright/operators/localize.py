@@ -166,14 +166,51 @@ def confident_peak(tr: Traces, labels: DataFrame, threshold: float = 0.60) -> Da
     return p.join(r, "run_id").select("run_id", "label", F.when(sure, F.col("peak")).otherwise(F.col("rule")).alias("fault_turn"))
 
 
-# Which localiser answers for which class in the hybrid.
-HYBRID_SOURCES = {"dropped_handoff": "peak", "duplicated_work": "rule", "deadlock": "peak", "conflict": "rule",
-                  "goal_drift": "peak", "runaway_loop": "rule"}
-
-
-def hybrid_by_class(tr: Traces, labels: DataFrame, sources: dict[str, str] = HYBRID_SOURCES) -> DataFrame:
+def hybrid_by_class(tr: Traces, labels: DataFrame, sources: dict[str, str]) -> DataFrame:
+    """Turn by the rule for the classes whose source is "rule", by the peak for the others."""
     p = predicted_peak(tr, labels).select("run_id", "label", F.col("fault_turn").alias("peak"))
     r = rule_localiser(tr, labels).select("run_id", F.col("fault_turn").alias("rule"))
     by_rule = F.col("label").isin([c for c, s in sources.items() if s == "rule"])
     return p.join(r, "run_id").select("run_id", "label", F.when(by_rule, F.col("rule")).otherwise(F.col("peak")).alias("fault_turn"))
 
+
+
+def named_sources(tr: Traces, labels: DataFrame) -> dict[str, DataFrame]:
+    return {"peak": predicted_peak(tr, labels).select("run_id", "label", "fault_turn"), "rule": rule_localiser(tr, labels)}
+
+
+def _stacked(sources: dict[str, DataFrame], folds: DataFrame) -> DataFrame:
+    long = [d.select("run_id", "label", "fault_turn", F.lit(k).alias("place"), F.lit(name).alias("source")) for k, (name, d) in enumerate(sources.items())]
+    out = long[0]
+    for d in long[1:]:
+        out = out.unionByName(d)
+    return out.join(folds.select("run_id", "fold"), "run_id")
+
+
+def source_map(tr: Traces, sources: dict[str, DataFrame], folds: DataFrame, k: int) -> DataFrame:
+    """``(fold, label, source, hits, runs)``: for each fold and predicted class the source with most hits on the other folds.
+
+    Hits are truly faulty runs whose class is right and whose turn is within 2. What the other folds have is all folds' total
+    less the fold's own, so one aggregation of the runs serves every fold. Equal hits go to the source named first.
+    """
+    x = _stacked(sources, folds).filter("label <> 'clean'").join(tr.truth.select("run_id", F.col("label").alias("y"), F.col("fault_turn").alias("ft")).filter("y <> 'clean'"), "run_id")
+    hit = (F.col("y") == F.col("label")) & (F.abs(F.col("fault_turn") - F.col("ft")) <= 2)
+    per = x.groupBy("fold", "label", "place", "source").agg(F.sum(flag(hit)).alias("hits"), F.count(F.lit(1)).alias("runs"))
+    total = per.groupBy("label", "place", "source").agg(F.sum("hits").alias("all_hits"), F.sum("runs").alias("all_runs"))
+    total = total.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("fold"))
+    rest = total.join(per, ["fold", "label", "place", "source"], "left").na.fill(0, ["hits", "runs"]).select(
+        "fold", "label", "place", "source", (F.col("all_hits") - F.col("hits")).alias("hits"), (F.col("all_runs") - F.col("runs")).alias("runs")).filter("runs > 0")
+    best = F.struct(F.col("hits"), -F.col("place"))
+    return rest.groupBy("fold", "label").agg(F.max_by("source", best).alias("source"), F.max("hits").alias("hits"), F.max_by("runs", best).alias("runs"))
+
+
+def hybrid_by_fold(tr: Traces, sources: dict[str, DataFrame], folds: DataFrame, k: int) -> DataFrame:
+    """``(run_id, label, fold, source, fault_turn)``: each run's turn by the source that the other folds chose for its class.
+
+    Clean runs get -1; a class that no other fold predicts for a faulty run takes the first source.
+    """
+    chosen = source_map(tr, sources, folds, k).select("fold", "label", F.col("source").alias("pick"))
+    first = next(iter(sources))
+    x = _stacked(sources, folds).join(chosen, ["fold", "label"], "left").filter(F.col("source") == F.coalesce("pick", F.lit(first)))
+    clean = F.col("label") == "clean"
+    return x.select("run_id", "label", "fold", F.when(clean, "none").otherwise(F.col("source")).alias("source"), F.when(clean, -1).otherwise(F.col("fault_turn")).cast("long").alias("fault_turn"))

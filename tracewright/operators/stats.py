@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,10 +145,25 @@ def column_fingerprints(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.sum(md5_int(F.concat_ws("|", F.col("run_id").cast("string"), F.col("v").cast("string"))).cast("decimal(20,0)")).alias("print"))
 
 
-def identical_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Groups of columns with the same values in every run (order-free fingerprint)."""
-    return column_fingerprints(df, cols).groupBy("print").agg(_one().alias("n"), F.min("feature").alias("first"),
-                                                            F.array_sort(F.collect_list("feature")).alias("columns")).filter("n > 1").drop("print")
+def identical_columns(df: DataFrame, cols: list[str], fingerprints: Callable = column_fingerprints) -> DataFrame:
+    """Groups of columns with the same values (to six digits) in every run: ``(first, n, columns)``.
+
+    Fingerprints only propose: each proposed class is split by comparing its columns with its first one, all classes in one
+    pass over the rows, and what differs is split again until nothing does. Colliding fingerprints cost passes, not truth.
+    """
+    proposed: dict = {}
+    for r in fingerprints(df, cols).collect():  # one row for each column
+        proposed.setdefault(r["print"], []).append(r.feature)
+    todo, classes = [sorted(c) for c in proposed.values() if len(c) > 1], []
+    number = lambda c: F.round(F.col(c).cast("double") * 1e6).cast("long")
+    while todo:
+        pairs = [(c[0], other) for c in todo for other in c[1:]]
+        row = df.agg(*[F.sum(flag(~number(a).eqNullSafe(number(b)))).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first()
+        apart = {b for i, (_, b) in enumerate(pairs) if row[i]}
+        classes += [c for c in ([x for x in group if x not in apart] for group in todo) if len(c) > 1]
+        todo = [c for c in ([x for x in group if x in apart] for group in todo) if len(c) > 1]
+    table = [(c[0], len(c), c) for c in classes]
+    return df.sparkSession.createDataFrame(table, "first string, n int, columns array<string>")
 
 
 def shift_report(df: DataFrame, part: Column, cols: list[str], top: int = 20) -> DataFrame:
