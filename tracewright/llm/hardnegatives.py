@@ -219,7 +219,8 @@ def build(rows: DataFrame, n_rows: int, width: int, block: int = BLOCK, entries:
         radii[1][c.cell % second] = max(radii[1][c.cell % second], c.s)
     index = Index(books, radii, np.array([c.cell for c in found], np.int64), width)
     pieces = filled.select("cell", F.ceil(F.col("n") / block).alias("pieces"))
-    dealt = cells.join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("id", "label", "vec"), F.col("pieces")))
+    # broadcast, one row for each cell: a join by cell would leave the rows dealt by cell, and a hot cell in one task
+    dealt = cells.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id", "label", "vec"), F.col("pieces")))
     blocks = written(dealt.select("cell", "piece", "id", "label", "vec").groupBy("cell", "piece").applyInArrow(_packed, "cell int, ids binary, labels binary, vecs binary"), "blocks")
     return index, blocks, cells
 
