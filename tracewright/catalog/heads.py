@@ -187,3 +187,5 @@ register("l21_shipped_contract", "run_id:l label_ok,turn_ok,success_ok:b", lambd
     tr.run_sizes, "run_id").select("run_id", F.col("label").isNotNull().alias("label_ok"), (((F.col("label") == "clean") & (F.col("fault_turn") == -1)) | (
         (F.col("label") != "clean") & (F.col("fault_turn") >= 0) & (F.col("fault_turn") < F.col("n")))).alias("turn_ok"), F.col("success").isin(0, 1).alias("success_ok")),
     "SELECT run_id, true AS label_ok, true AS turn_ok, true AS success_ok FROM runs WHERE run_id % 3 = 0")
+register("l22_local_cv", "macro_f1,robustness_f1,success_f1,fault_turn_hit2,composite:d", lambda tr: H.local_evaluation(tr, rounds=4, **SMALL)[0])
+register("l22_local_class_scores", "label:s precision,recall,f1:d support:l", lambda tr: H.local_evaluation(tr, rounds=4, **SMALL)[1])

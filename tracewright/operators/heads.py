@@ -16,9 +16,9 @@ from pyspark.sql.types import StructField, StructType
 from tracewright.fixed import FAULTS, LABELS, RADIUS
 from tracewright.operators import lifecycles as L
 from tracewright.operators import runfeatures as R
-from tracewright.operators.evaluate import macro_f1
-from tracewright.operators.localize import AGGREGATE_COLS, argmax, label_index, label_name, window_aggregates
-from tracewright.operators.resample import stratified_folds
+from tracewright.operators.evaluate import class_scores, composite, macro_f1
+from tracewright.operators.localize import AGGREGATE_COLS, argmax, label_index, label_name, rule_localiser, window_aggregates
+from tracewright.operators.resample import seeded, stratified_folds
 from tracewright.operators.turns import CAUSAL_COLS, WINDOW_COLS, causal_turns, turn_windows
 from tracewright.operators.waits import wait_block
 from tracewright.plans.scan import ranked
@@ -287,6 +287,26 @@ def importance_by_group(tr: Traces, groups: dict[str, list[str]], trees: int, de
     return t.groupBy("grp").agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("importance"))
 
 
+def local_evaluation(tr: Traces, folds: int = 3, limit: int = 0, seed: int = 42, trees: int = 100, depth: int = 8, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Local scores in one call: sample, features, folds, label and success out of fold, turns by rule, metrics.
+
+    ``limit`` takes so many runs by md5, all if 0. Returns the four scores with the composite (one row), and per-class scores.
+    """
+    runs = tr.truth.select("run_id", "label")
+    if limit:
+        runs = written(runs.orderBy(seeded(seed, "run_id"), "run_id").limit(limit), "sampled")
+    base = tr.once("run_block", R.run_block)
+    cols = [c for c in base.columns if c != "run_id"]
+    x = written(label_rows(tr, base).join(runs.select("run_id"), "run_id", "left_semi"), "local_rows")
+    parts = stratified_folds(runs, folds, seed)
+    labels = decisions(out_of_fold(x, parts, folds, lambda r: fit_forest(r, cols, ["run_id"], trees=trees, depth=depth, classes=len(LABELS))))
+    success = out_of_fold(x, parts, folds, lambda r: fit_boosted(r, cols, ["run_id"], y="success", rounds=rounds)).groupBy("run_id").agg(argmax("p", "c").alias("sp"))
+    turns = rule_localiser(tr, written(labels, "local_labels")).select("run_id", F.col("label").alias("yp"), F.col("fault_turn").alias("tp"))
+    own = tr.truth.select("run_id", F.col("label").alias("y"), F.col("success").alias("s"), F.col("fault_turn").alias("ft"))
+    answers = written(turns.join(success, "run_id").join(own, "run_id"), "local_answers")
+    return composite(tr, answers), class_scores(answers)
+
+
 def probability_rows_ok(p: DataFrame, classes: int) -> DataFrame:
     """Per run: number of predictions and whether they are a distribution."""
     ok: Column = (F.abs(F.sum("p") - 1) < 1e-6) & (F.min("p") >= 0)

@@ -119,14 +119,18 @@ def leak_probe(tr: Traces, block: Callable[[Traces], DataFrame]) -> DataFrame:
     return same_result(block(tr), block(like(tr, truth=t)))
 
 
-def rename_probe(tr: Traces, block: Callable[[Traces], DataFrame]) -> DataFrame:
-    """Rename every agent (also inside texts) and rebuild the block: nothing may change."""
+def renamed(tr: Traces) -> Traces:
+    """The traces with every agent renamed, also inside texts."""
     def new(c: str) -> Column:
         return F.regexp_replace(F.col(c), r"\ba([0-9]+)\b", "a9$1")
 
     m = tr.plain_messages.withColumns({c: new(c) for c in ("sender", "receiver", "text")})
-    return same_result(block(tr), block(like(tr, m, tr.artifacts.withColumn("by", new("by")), tr.state.withColumn("agent", new("agent")),
-                                             tr.agents.withColumn("agent", new("agent")))))
+    return like(tr, m, tr.artifacts.withColumn("by", new("by")), tr.state.withColumn("agent", new("agent")), tr.agents.withColumn("agent", new("agent")))
+
+
+def rename_probe(tr: Traces, block: Callable[[Traces], DataFrame]) -> DataFrame:
+    """Rename every agent and rebuild the block: nothing may change."""
+    return same_result(block(tr), block(renamed(tr)))
 
 
 def future_probe(tr: Traces, table: Callable[[Traces], DataFrame], cut: int) -> DataFrame:
@@ -136,6 +140,104 @@ def future_probe(tr: Traces, table: Callable[[Traces], DataFrame], cut: int) ->
     return same_result(table(tr).filter(keep), table(short))
 
 
+class _Watched(Traces):
+    """Traces that note whether a block asks for the targets, directly or through a table made of them."""
+
+    asked = False
+
+    @property
+    def truth(self) -> DataFrame:
+        self.asked = True
+        return self._own_truth
+
+    def once(self, name: str, build) -> DataFrame:
+        before, self.asked = self.asked, self._of_targets.get(name, False)
+        out = super().once(name, build)
+        self._of_targets[name] = self.asked
+        self.asked |= before
+        return out
+
+
+def watched(tr: Traces, truth: DataFrame | None = None) -> _Watched:
+    """The traces with these or the given targets, watched; blocks share their tables."""
+    out = like(tr)
+    out.__dict__.pop("truth", None)
+    out.__class__ = _Watched
+    out._own_truth, out._of_targets = truth if truth is not None else tr.truth, {}
+    return out
+
+
+def reads_targets(out: _Watched, block: Callable[[Traces], DataFrame]) -> tuple[bool, DataFrame]:
+    """Whether a block's plan is made from the targets, and the block."""
+    out.asked, had = False, set(out.__dict__)
+    got = block(out)
+    if out.asked:  # properties made from the targets must ask for them again
+        for name in set(out.__dict__) - had:
+            del out.__dict__[name]
+    return out.asked, got
+
+
+def _report(rows: list[tuple[str, bool, DataFrame]]) -> DataFrame:
+    outs = [d.select(F.lit(name).alias("block"), F.lit(flagged).alias("flagged"), "rows", "differing") for name, flagged, d in rows]
+    out = outs[0]
+    for d in outs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def leak_report(tr: Traces, blocks: dict[str, Callable[[Traces], DataFrame]]) -> DataFrame:
+    """``(block, flagged, rows, differing)``: blocks made from the targets are flagged and compared under scrambled ones.
+
+    A block whose plan never asks for the targets cannot depend on them: none of its rows needs to be compared.
+    """
+    t = tr.truth.withColumn("label", F.lit("clean")).withColumn("success", 1 - F.col("success")).withColumn("fault_turn", F.lit(-1).cast("long"))
+    other, rows = watched(tr, t), []
+    for name, block in blocks.items():
+        asked, again = reads_targets(other, block)
+        zero = F.lit(0).cast("long")
+        found = same_result(block(tr), again) if asked else tr.spark.range(1).select(zero.alias("rows"), zero.alias("differing"))
+        rows.append((name, asked, found))
+    return _report(rows)
+
+
+def rename_report(tr: Traces, blocks: dict[str, Callable[[Traces], DataFrame]]) -> DataFrame:
+    """As ``rename_probe`` for many blocks, which share the renamed tables; flagged are those that differ."""
+    other = renamed(tr)
+    rows = [(name, False, same_result(block(tr), block(other))) for name, block in blocks.items()]
+    return _report(rows).withColumn("flagged", F.col("differing") > 0)
+
+
+def future_report(tr: Traces, tables: dict[str, Callable[[Traces], DataFrame]], cuts: list[int]) -> DataFrame:
+    """``(table, cut, rows, differing)``: for every cut, the rows up to it when nothing later is known, against the table's own.
+
+    All cuts are checked in one build: each run is copied once per cut, with its events up to the cut, and a copy's rows must
+    be the run's. Run ids are whole numbers; copies get ids far beyond them.
+    """
+    far = 10**12
+
+    def copied(df: DataFrame) -> DataFrame:
+        x = df.select("*", F.explode(F.array(*map(F.lit, range(len(cuts))))).alias("__k"))
+        if "t" in df.columns:
+            x = x.filter(F.col("t") <= F.array(*map(F.lit, cuts))[F.col("__k")])
+        return x.withColumn("run_id", F.col("run_id") + (F.col("__k") + 1) * F.lit(far)).drop("__k")
+
+    short = Traces.of_messages(copied(tr.plain_messages), copied(tr.goals), copied(tr.artifacts), copied(tr.state), copied(tr.agents))
+    outs = []
+    for name, table in tables.items():
+        own, again = table(tr), table(short)
+        cut = F.array(*map(F.lit, cuts))
+        own = own.select("*", F.explode(F.array(*map(F.lit, range(len(cuts))))).alias("__k")).filter(F.col("t") <= cut[F.col("__k")])
+        again = again.withColumn("__k", (F.floor(F.col("run_id") / far) - 1).cast("int")).withColumn("run_id", F.pmod("run_id", F.lit(far)))
+        tidy = lambda df: df.select("__k", *[(F.round(c, 6) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes if c != "__k"])
+        apart = row_differences(tidy(own), tidy(again)).groupBy("__k").agg(_one().alias("differing"))
+        rows = own.groupBy("__k").agg(_one().alias("rows")).join(apart, "__k", "left")
+        outs.append(rows.select(F.lit(name).alias("table"), cut[F.col("__k")].alias("cut"), "rows", F.coalesce("differing", F.lit(0)).alias("differing")))
+    out = outs[0]
+    for d in outs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 # ---- table audits ---------------------------------------------------------------
 def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """Row count and order-free content print of a table."""

@@ -131,7 +131,9 @@ def strongest_correlations(block: DataFrame, target: str, cols: list[str], top:
     """
     r9 = [F.round(F.col(c).cast("double"), 9).alias(c) for c in [target, *cols]]
     x = block.select("run_id", *r9)
-    pear = x.select(*[F.corr(target, c).alias(c) for c in cols]).unpivot([], cols, "feature", "pearson")
+    # a constant column has no correlation: null here, where F.corr would divide by zero
+    pearson = lambda c: F.try_divide(F.covar_pop(target, c), F.stddev_pop(target) * F.stddev_pop(c))
+    pear = x.select(*[pearson(c).alias(c) for c in cols]).unpivot([], cols, "feature", "pearson")
     long = x.unpivot(["run_id"], [target, *cols], "feature", "value")
     rk = ranked(long, ["feature"], ["value", "run_id"], "r", chunk=F.struct(value_bucket("value").alias("v"), "value", chunk_of(long, "run_id").alias("i"))).select("run_id", "feature", "r")
     me = rk.filter(F.col("feature") == target).select("run_id", F.col("r").alias("r0"))
