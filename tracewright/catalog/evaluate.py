@@ -261,7 +261,7 @@ def _signature_block(tr):
 
 FAM_ON = {f: " OR ".join(f"round({c}, 9) {op} {x}" for c, op, x in t) for f, t in E.FAMILIES.items()}
 register("e23_signature_families", "grp:s n:l " + ",".join(f"rate_{f}" for f in E.FAMILIES) + ",two_plus,three_plus:d", lambda tr: E.signature_families(_signature_block(tr), _groups(tr)),
-         f"""WITH {PAIR_SQL}, {BASE_SQL}, l18 AS (WITH {A18_SQL} SELECT run_id, lc_n_unresolved FROM a18), w21 AS (WITH {A21_SQL} SELECT * FROM a21),
+         f"""WITH {PAIR_SQL}, {BASE_SQL}, l18 AS (WITH RECURSIVE {A18_SQL} SELECT run_id, lc_n_unresolved FROM a18), w21 AS (WITH {A21_SQL} SELECT * FROM a21),
   z AS (SELECT {GRP} AS grp, {', '.join(f'CASE WHEN {c} THEN 1.0 ELSE 0.0 END AS {f}' for f, c in FAM_ON.items())} FROM base JOIN l18 USING (run_id) JOIN w21 USING (run_id) JOIN pr USING (run_id)),
   zz AS (SELECT *, {' + '.join(E.FAMILIES)} AS k FROM (SELECT * FROM z UNION ALL SELECT * REPLACE ('ALL' AS grp) FROM z)),
   answer AS (SELECT grp, count(*) AS n, {', '.join(f'avg({f}) AS rate_{f}' for f in E.FAMILIES)}, avg({b('k >= 2')}) AS two_plus, avg({b('k >= 3')}) AS three_plus FROM zz GROUP BY 1)""")

@@ -85,9 +85,9 @@ CORR = [c for c in ALL_COLS if c != "n_messages"]
 
 
 def corr_sql():
-    pe = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr(round(n_messages, 9), round({c}, 9)) AS r FROM base" for c in CORR)
-    lg = " UNION ALL ".join(f"SELECT run_id, '{c}' AS feature, round({c}, 9) AS v FROM base" for c in ["n_messages", *CORR])
-    return f"""pe AS ({pe}), lg AS ({lg}), rk AS (SELECT run_id, feature, row_number() OVER (PARTITION BY feature ORDER BY v, run_id) AS r FROM lg),
+    pe = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr(round(n_messages, 9), round({c}, 9)) AS r FROM bm" for c in CORR)
+    lg = " UNION ALL ".join(f"SELECT run_id, '{c}' AS feature, round({c}, 9) AS v FROM bm" for c in ["n_messages", *CORR])
+    return f"""bm AS MATERIALIZED (SELECT * FROM base), pe AS ({pe}), lg AS ({lg}), rk AS (SELECT run_id, feature, row_number() OVER (PARTITION BY feature ORDER BY v, run_id) AS r FROM lg),
 sp AS (SELECT x.feature, corr(x.r, y.r) AS s FROM rk x JOIN rk y ON x.run_id = y.run_id AND y.feature = 'n_messages' WHERE x.feature <> 'n_messages' GROUP BY 1),
 answer AS (SELECT pe.feature, abs(CASE WHEN r IS NULL OR isnan(r) THEN 0 ELSE r END) AS pearson, abs(s) AS spearman FROM pe JOIN sp USING (feature) ORDER BY round(abs(CASE WHEN r IS NULL OR isnan(r) THEN 0 ELSE r END), 6) DESC, feature LIMIT 5)"""
 
@@ -105,8 +105,8 @@ register("t8_identical_columns", 'first:s n:l columns:as', lambda tr: T.identica
 
 
 def shift_sql(cols):
-    lg = " UNION ALL ".join(f"SELECT run_id % 3 = 0 AS test, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM base" for c in cols)
-    return f"""lg AS ({lg}), z AS (SELECT feature, avg(v) FILTER (WHERE NOT test) AS train_mean, avg(v) FILTER (WHERE test) AS test_mean, quantile_cont(v, 0.5) FILTER (WHERE NOT test) AS train_median,
+    lg = " UNION ALL ".join(f"SELECT run_id % 3 = 0 AS test, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM bm" for c in cols)
+    return f"""bm AS MATERIALIZED (SELECT * FROM base), lg AS ({lg}), z AS (SELECT feature, avg(v) FILTER (WHERE NOT test) AS train_mean, avg(v) FILTER (WHERE test) AS test_mean, quantile_cont(v, 0.5) FILTER (WHERE NOT test) AS train_median,
   quantile_cont(v, 0.5) FILTER (WHERE test) AS test_median FROM lg GROUP BY 1), y AS (SELECT *, (test_mean - train_mean) / (abs(train_mean) + 1e-9) AS rel_shift FROM z),
 answer AS (SELECT * FROM y ORDER BY round(abs(rel_shift), 6) DESC, feature LIMIT 20)"""
 
