@@ -88,3 +88,14 @@ def test_parities_never_exceed_the_difference():
         found = neardup.differing(neardup.parities(a), neardup.parities(b))
         assert found <= apart and (apart - found) % 2 == 0
         assert neardup.differing(neardup.parities(a), neardup.parities(a)) == 0
+
+
+def test_parities_of_a_bucket_are_those_of_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    bits = [neardup.parities(np.unique(rng.integers(0, 1 << 63, rng.integers(0, 3000)).astype(np.uint64))) for _ in range(40)]
+    known = neardup.Parities(bits)
+    for i in range(40):
+        others = np.array([j for j in range(40) if j != i])
+        assert known.apart(i, others).tolist() == [neardup.differing(bits[i], bits[j]) for j in others]

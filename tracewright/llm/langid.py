@@ -148,7 +148,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = max(1, min(SAMPLE_TEXTS, SAMPLE_ALL // max(1, len(languages))))
     # a hash range that holds over twice the texts wanted of each language: few rows reach the ranking, however many there are
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * each + 20) / max(1, counts[k]))) for k in languages], "lang string, share double")
-    near = known.join(shares, "lang").filter(F.pmod("hash", F.lit(1 << 32)) < F.when(F.col("share") >= 0.5, 1.0).otherwise(F.col("share")) * (1 << 32))
+    # broadcast, one row for each language as the driver has them: a join by language would ship all texts, most of them to one task
+    near = known.join(F.broadcast(shares), "lang").filter(F.pmod("hash", F.lit(1 << 32)) < F.when(F.col("share") >= 0.5, 1.0).otherwise(F.col("share")) * (1 << 32))
     near = near.groupBy("lang", "hash").agg(F.first("text").alias("text"))
     picked = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("nth") <= each)
     rows = picked.select("text", "lang").mapInArrow(_cuts, "text binary, lang string").collect()

@@ -32,6 +32,8 @@ SAMPLE, OFTEN, LIST = 16, 8, 1 << 16
 _SET = "struct<node:bigint,n:int,fp:bigint,prefix:array<bigint>,bits:binary>"
 #: Least width of a set's parity bits.
 _BITS = 1024
+#: Buckets of more sets carry their parities, so that pairs which cannot be near copies are not written out.
+WIDE = 128
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -84,6 +86,28 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, width)) ^ np.bitwise_xor.reduce(y.reshape(-1, width))).sum())
 
 
+class Parities:
+    """Parities of the sets of a bucket, folded to each width that occurs."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(b) for b in bits])
+        self.folded, self.place = {}, {}
+        for w in np.unique(self.width):
+            some = np.flatnonzero(self.width >= w)
+            self.place[w] = np.full(len(bits), -1)
+            self.place[w][some] = np.arange(len(some))
+            self.folded[w] = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, w // 8)) for i in some])
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Differing bits of set i and each of the others: a lower bound of the hashes that only one of them has."""
+        out, least = np.zeros(len(others), np.int64), np.minimum(self.width[others], self.width[i])
+        for w in np.unique(least):
+            m, at = self.folded[w], self.place[w]
+            here = least == w
+            out[here] = np.bitwise_count(m[at[others[here]]] ^ m[at[i]]).sum(1)
+        return out
+
+
 def _differing_column(a: str, b: str) -> Column:
     return F.arrow_udf(lambda x, y: pa.array([differing(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.int32()), "int")(a, b)
 
@@ -119,15 +143,22 @@ def _often(texts: DataFrame) -> list[int]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels and fitting sizes out of rows (bucket, node, n, label) sorted by bucket. A bucket has a few blocks at most."""
+    """Pairs of different labels and fitting sizes out of rows (bucket, node, n, label, bits) sorted by bucket. A bucket has a few blocks at most.
+
+    Where a bucket has parities, pairs that these tell too far apart are left out.
+    """
 
-    def found(g, node, n, label):
+    def found(g, node, n, label, bits):
         held, rows = [], 0
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         for a, b in zip(starts, [*starts[1:], len(g)]):
+            known = Parities(list(bits[a:b])) if bits[a] is not None else None
             for i in range(a, b - 1):
                 m = n[i + 1 : b]
                 fits = (label[i + 1 : b] != label[i]) & (UNDER * np.minimum(m, n[i]) >= OVER * np.maximum(m, n[i]))
+                if known is not None and fits.any():
+                    at = np.flatnonzero(fits)
+                    fits[at] = (UNDER + OVER) * known.apart(i - a, at + i + 1 - a) <= (UNDER - OVER) * (m[at] + n[i])
                 other = node[i + 1 : b][fits]
                 if len(other):
                     flip = other < node[i]
@@ -145,7 +176,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
         if not len(cols[0]):
             continue
         if held and held[-1][0][-1] == cols[0][0] == cols[0][-1]:
@@ -242,7 +273,10 @@ def similar(sets: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = F.when(F.col("of") <= block, F.array(F.xxhash64("token"))).otherwise(
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("token", F.least(own, j), F.greatest(own, j))))
     # pairs inside a block meet in each of its block pairs: counted too often, they are checked all the same
-    rows = marked.join(open_tokens, "token").select(F.explode(dealt).alias("bucket"), "node", "n", "label")
+    open_ = marked.join(open_tokens, "token")
+    wide = open_.filter(F.col("of") > WIDE).join(sets.select("node", "bits"), "node")
+    open_ = open_.filter(F.col("of") <= WIDE).withColumn("bits", F.lit(None).cast("binary")).unionByName(wide)
+    rows = open_.select(F.explode(dealt).alias("bucket"), "node", "n", "label", "bits")
     pairs = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "src bigint, dst bigint, n int, m int")
     pairs = written(_near_enough(pairs.filter("src <> dst")), "pairs")
     more = written(_checked(pairs, sets, docs), "more")
