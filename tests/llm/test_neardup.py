@@ -48,6 +48,8 @@ def test_what_stays_equals_all_pairs(spark, frame, monkeypatch):
     rows = corpus()
     want = direct(rows)
     assert sorted(r.doc_id for r in neardup.drop_similar(frame(rows)).collect()) == want
+    monkeypatch.setattr(neardup, "WIDE", 1)
+    assert sorted(r.doc_id for r in neardup.drop_similar(frame(rows)).collect()) == want
     monkeypatch.setattr(neardup, "SAMPLE", 1)
     assert sorted(r.doc_id for r in neardup.drop_similar(frame(rows), block=4).collect()) == want
 
