@@ -315,9 +315,8 @@ register("d3_future_probe", "rows,rows_again,differing:l", lambda tr: Q.future_p
 RUN_BLOCKS = {"run_block": R.run_block, "positions": R.positions, "lifecycle": L.lifecycle_block, "deadlock": L.deadlock_block, "temporal": L.temporal_block, "waits": W.wait_block,
               "episodes": W.episode_block, "tasks": W.task_block}
 TURN_TABLES = {"turn_counters": TU.turn_counters, "turn_windows": TU.turn_windows, "causal_turns": TU.causal_turns}
-#: Blocks with a fault planted, which the reports must find: targets, agents' names and later turns.
+#: Tables with a fault planted, which the reports must find: targets and later turns.
 PLANTED = lambda tr: tr.run_sizes.join(tr.truth.select("run_id", F.when(F.col("label") == "clean", 0).otherwise(1).alias("x")), "run_id").select("run_id", "x")
-NAMED = lambda tr: tr.plain_messages.groupBy("run_id").agg(F.max(F.length("sender")).alias("x"))
 LENGTHS = lambda tr: tr.messages.select("run_id", "t", "n")
 CUTS = [5, 30, 60]
 
@@ -328,8 +327,6 @@ def _listed(names, rows, flagged="false", n="count(*)", differing="0"):
 
 register("d1_leak_report", "block:s flagged:b rows,differing:l", lambda tr: Q.leak_report(tr, RUN_BLOCKS | TURN_TABLES | {"planted": PLANTED}),
          f"""SELECT * FROM ({_listed(RUN_BLOCKS | TURN_TABLES, '(SELECT 1)', n='0')} UNION ALL SELECT 'planted', true, count(*), 2 * count(*) FILTER (WHERE label <> 'clean') FROM truth)""")
-register("d2_rename_report", "block:s flagged:b rows,differing:l", lambda tr: Q.rename_report(tr, RUN_BLOCKS | {"planted": NAMED}),
-         f"SELECT * FROM ({_listed(RUN_BLOCKS, 'runs')} UNION ALL {_listed(['planted'], 'runs', 'true', differing='2 * count(*)')})")
 register("d3_future_report", "table:s cut,rows,differing:l", lambda tr: Q.future_report(tr, {"turn_counters": TU.turn_counters, "planted": LENGTHS}, CUTS),
          f"""SELECT x.tab AS "table", cut, count(*) AS rows, CASE WHEN x.tab = 'planted' THEN 2 * count(*) FILTER (WHERE n > cut + 1) ELSE 0 END AS differing
   FROM messages, (SELECT unnest({CUTS}) AS cut), (SELECT unnest(['turn_counters', 'planted']) AS tab) x WHERE t <= cut GROUP BY 1, 2""")
