@@ -31,9 +31,11 @@ OVER, UNDER = 4, 5
 SAMPLE, OFTEN, LIST = 16, 8, 1 << 16
 _SET = "struct<node:bigint,n:int,fp:bigint,prefix:array<bigint>,bits:binary>"
 #: Least width of a set's parity bits.
-_BITS = 1024
+_BITS = 512
 #: Buckets of more sets carry their parities, so that pairs which cannot be near copies are not written out.
 WIDE = 128
+#: How often components take their nearest pair alone before all pairs that are left are checked. This changes cost, never results.
+ROUNDS = 2
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -71,11 +73,11 @@ def prefix(found: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray
 
 
 def parities(found: np.ndarray) -> bytes:
-    """For each bit whether an odd number of hashes falls on it; a power of two of bits, at least twice as many as hashes.
+    """For each bit whether an odd number of hashes falls on it; a power of two of bits, more than there are hashes.
 
     Two sets differ in at least as many hashes as their parities differ in bits, of whichever of the two widths.
     """
-    width = max(_BITS, 1 << (2 * len(found)).bit_length())
+    width = max(_BITS, 1 << len(found).bit_length())
     return np.packbits(np.bincount((found & np.uint64(width - 1)).view(np.int64), minlength=width) & 1, bitorder="little").tobytes()
 
 
@@ -220,15 +222,17 @@ def _near_enough(rows: DataFrame) -> DataFrame:
     return pairs.filter((OVER + UNDER) * (F.greatest(rest("n"), rest("m")) + F.col("c")) >= OVER * (F.col("n") + F.col("m"))).select("src", "dst")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(src, dst)`` that are near copies.
-
-    Parities, a sixteenth of a set's size, throw out most pairs first; only the texts of the others are read for their whole sets.
-    """
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` that parities, a few hundredths of a set's size, do not tell too far apart; ``apart`` is the share of differing bits."""
     bits = lambda node, name: sets.select(F.col("node").alias(node), F.col("bits").alias(name), F.col("n").alias(f"n_{name}"))
     both = pairs.join(bits("src", "a"), "src").join(bits("dst", "b"), "dst")
-    close = both.filter((UNDER + OVER) * _differing_column("a", "b") <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b")))
-    pairs = written(close.select("src", "dst"), "close")
+    size, apart = F.col("n_a") + F.col("n_b"), _differing_column("a", "b")
+    close = both.select("src", "dst", apart.alias("apart"), size.alias("size")).filter((UNDER + OVER) * F.col("apart") <= (UNDER - OVER) * F.col("size"))
+    return close.select("src", "dst", (F.col("apart") / F.greatest("size", F.lit(1))).alias("apart"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)``, a written table, that are near copies. Only the texts of these pairs are read for their whole sets."""
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     names = written(sets.join(nodes, "node", "left_semi").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "names")
     hashes = docs.join(names, same_key(docs, names)).select("node", hashes_column(F.col("text")).alias("hashes"))
@@ -237,7 +241,40 @@ def _checked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     b = hashes.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
     same = F.size(F.array_intersect("a", "b"))
     both = pairs.join(a, "src").join(b, "dst")
-    return both.filter((OVER + UNDER) * same >= OVER * (F.size("a") + F.size("b"))).select("src", "dst")
+    links = written(both.filter((OVER + UNDER) * same >= OVER * (F.size("a") + F.size("b"))).select("src", "dst"), "checked")
+    released(names, hashes)
+    return links
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with these."""
+    for end, name in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    return pairs.filter("a <> b")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that ``links(a, b)`` connect have become one."""
+    new = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return labels.join(new, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("new", "label").alias("label"))
+
+
+def _spread(close: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Labels after all near copies among ``close(src, dst, apart)`` are linked.
+
+    In a dense group nearly all pairs are near copies and few of them are needed. So first each component takes the pair
+    that is least apart, a few times over; what these connect needs no more checks. All other pairs are then checked.
+    """
+    for turn in range(ROUNDS + 1):
+        open_ = written(_labelled(close, labels), "open")
+        least = F.struct("apart", "src", "dst")
+        picked = open_ if turn == ROUNDS else open_.select(F.explode(F.array("a", "b")).alias("label"), least.alias("x"), "a", "b").groupBy("label").agg(
+            F.min_by(F.struct("x.src", "x.dst", "a", "b"), "x").alias("y")).select("y.*").distinct()
+        picked = written(picked.select("src", "dst", "a", "b"), "picked")
+        links = _checked(picked.select("src", "dst"), sets, docs).join(picked, ["src", "dst"]).select("a", "b").distinct()
+        labels = written(_joined(labels, links), "joined")
+        close = open_.select("src", "dst", "apart").join(picked.select("src", "dst"), ["src", "dst"], "left_anti")
+    return labels
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -261,8 +298,7 @@ def similar(sets: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     equal = sets.join(prints, "fp").select(*_pair("node", "least"))
     hubs = _near_enough(meet.filter("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst"), "n", "m"))
     few = written(near.unionByName(equal).unionByName(hubs).filter("src <> dst").distinct(), "few")
-    known = written(_checked(few, sets, docs), "links")
-    labels = components(known)
+    labels = components(_checked(written(_close(few, sets), "close"), sets, docs))
 
     marked = written(meet.select("token", "node", "n").join(labels, "node", "left")
                      .select("token", "node", "n", F.coalesce("label", "node").alias("label")), "marked")
@@ -279,8 +315,7 @@ def similar(sets: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = open_.select(F.explode(dealt).alias("bucket"), "node", "n", "label", "bits")
     pairs = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pairs, "src bigint, dst bigint, n int, m int")
     pairs = written(_near_enough(pairs.filter("src <> dst")), "pairs")
-    more = written(_checked(pairs, sets, docs), "more")
-    return components(known.unionByName(more))
+    return _spread(written(_close(pairs, sets), "close"), labels, sets, docs)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
