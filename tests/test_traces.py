@@ -261,6 +261,22 @@ def test_run_files_with_text_ids_tools_and_targets(spark, tmp_path):
     assert TU.turn_windows(tr).count() == 8
 
 
+def test_events_of_one_turn_keep_the_order_of_their_source(spark):
+    import json
+
+    from tracewright.sources import runs as RF
+
+    late = [f"late{i}" for i in range(40)]  # without a turn, more than two chunks of them
+    messages = [{"t": 0, "from": "a1", "to": "a2", "type": "inform", "intent": "start"}, *[{"t": None, "from": "a1", "to": "a2", "type": "inform", "intent": x} for x in late]]
+    arts = [{"id": x, "by": "a1", "t": t, "type": "doc", "subtask": "s", "hash": "h", "status": "final"} for t, x in [(0, "z"), (0, "b"), (0, "y"), (None, "q"), (None, "p")]]
+    raw = spark.createDataFrame([("r", json.dumps(messages), json.dumps(arts), json.dumps([{"t": 0, "agent": "a1", "key": k, "op": "set", "value": "1"} for k in "ml"]), "[]", "{}")],
+                                "run_id string, messages string, artifacts string, shared_state string, agents string, topology string")
+    flat = RF.flatten(RF.decode_runs(raw))
+    tr = Traces.of_messages(flat["messages"], None, flat["artifacts"].orderBy(F.desc("idx")), flat["state"], flat["agents"])
+    got = [(r.seq, r.task if r.kind == "message" else r.src) for r in RF.event_log(tr).orderBy("seq").collect()]
+    assert got == list(enumerate(["start", "m", "l", "z", "b", "y", *late, "q", "p"]))
+
+
 def replay(events):
     """Matching one event after the other: (t, last close, first close) of each assignment; events are (t, open?, sender, receiver, intent)."""
     by_intent, by_agent, first, last = {}, {}, {}, {}

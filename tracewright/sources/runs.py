@@ -34,18 +34,17 @@ def decode_runs(runs: DataFrame) -> DataFrame:
 def flatten(decoded: DataFrame) -> dict[str, DataFrame]:
     """The event tables of decoded runs."""
     def rows(col: str) -> DataFrame:
-        return decoded.select("run_id", F.explode(col).alias("x"))
+        return decoded.select("run_id", F.posexplode(col).alias("idx", "x")).withColumn("idx", F.col("idx").cast("long"))
 
+    # the place in the source orders several events of one turn, and those without a turn
     agents = rows("agents").select("run_id", F.col("x.id").alias("agent"), "x.role", "x.tools")
     messages = rows("messages").select(
         "run_id", "x.t", F.col("x.from").alias("sender"), F.col("x.to").alias("receiver"), "x.type",
         F.coalesce("x.intent", F.lit("")).alias("intent"), F.coalesce("x.text", F.lit("")).alias("text"),
         F.coalesce("x.tool", F.lit("")).alias("tool"),
-        F.coalesce("x.refs", F.array().cast("array<string>")).alias("refs"))
-    artifacts = rows("artifacts").select("run_id", "x.t", "x.id", "x.by", "x.type", F.coalesce("x.subtask", F.lit("")).alias("subtask"), "x.hash", "x.status")
-    # the place in the source orders several writes of one turn
-    state = decoded.select("run_id", F.posexplode("shared_state").alias("idx", "x")).select(
-        "run_id", "x.t", F.col("idx").cast("long").alias("idx"), "x.agent", "x.key", "x.op", "x.value")
+        F.coalesce("x.refs", F.array().cast("array<string>")).alias("refs"), "idx")
+    artifacts = rows("artifacts").select("run_id", "x.t", "x.id", "x.by", "x.type", F.coalesce("x.subtask", F.lit("")).alias("subtask"), "x.hash", "x.status", "idx")
+    state = rows("shared_state").select("run_id", "x.t", "idx", "x.agent", "x.key", "x.op", "x.value")
     edges = decoded.select("run_id", F.explode("topology.edges").alias("e")).select(
         "run_id", F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"))
     return {"agents": agents, "messages": messages, "artifacts": artifacts, "state": state, "topology_edges": edges}
@@ -113,16 +112,22 @@ def observable(runs: DataFrame) -> DataFrame:
 
 
 def event_log(tr: Traces) -> DataFrame:
-    """Messages, state writes and artifacts of a run in one order (seq from 0); unknown turns last."""
-    first = F.lit(0).cast("long").alias("idx")
-    m = tr.plain_messages.select("run_id", "t", F.lit(0).alias("rank"), F.lit("message").alias("kind"), first,
+    """Messages, state writes and artifacts of a run in one order (seq from 0); unknown turns last.
+
+    Inside a turn messages come before state writes and artifacts, each in the order of their source (``idx``) where the
+    tables have it. Events without a turn are cut into chunks by that place.
+    """
+    def place(df: DataFrame) -> Column:
+        return (F.col("idx") if "idx" in df.columns else F.lit(0).cast("long")).alias("idx")
+
+    m = tr.plain_messages.select("run_id", "t", F.lit(0).alias("rank"), F.lit("message").alias("kind"), place(tr.plain_messages),
                                  F.lit("").alias("src"), F.col("sender").alias("actor"), F.col("intent").alias("task"))
     s = tr.state.select("run_id", "t", F.lit(1).alias("rank"), F.lit("state").alias("kind"), "idx",
                         F.col("key").alias("src"), F.col("agent").alias("actor"), F.lit("").alias("task"))
-    a = tr.artifacts.select("run_id", "t", F.lit(2).alias("rank"), F.lit("artifact").alias("kind"), first,
+    a = tr.artifacts.select("run_id", "t", F.lit(2).alias("rank"), F.lit("artifact").alias("kind"), place(tr.artifacts),
                             F.col("id").alias("src"), F.col("by").alias("actor"), F.col("subtask").alias("task"))
     log = m.unionByName(s).unionByName(a).withColumn("late", F.when(F.col("t").isNull(), 1).otherwise(0))
-    c = F.coalesce(chunk_of(log, "t"), F.lit(2**62))
+    c = F.coalesce(chunk_of(log, "t"), F.lit(2**61) + F.col("rank") * F.lit(2**40) + chunk_of(log, "idx"))
     return ranked(log, ["run_id"], ["late", "t", "rank", "idx", "src"], "seq", chunk=c).drop("late", "idx")
 
 
