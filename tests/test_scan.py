@@ -119,3 +119,21 @@ def test_components_small_and_large(spark, size, degree):
     e = spark.createDataFrame(edges, "run_id long, src string, dst string")
     n = spark.createDataFrame(nodes, "run_id long, node string")
     assert {(r.run_id, r.node): r.comp for r in scc_members(e, n).collect()} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_all_events_are_not_broadcast(spark):
+    from tracewright.operators import turns
+    from tracewright.sources.traces import Traces
+
+    tr = Traces.load(spark, "/root/testdata/sf0.001")
+    turns_of = tr.messages.select("run_id", "t", "sender")
+    again = spark.range(10).selectExpr("id AS run_id", "id AS t").join(tr.messages.select("run_id", "t"), ["run_id", "t"])
+    assert "BroadcastHashJoin" not in plan_of(again)
+    scanned = scan.running(turns_of, ["run_id"], ["t"], {"x": ("max", "t")}, chunk=F.col("t"))  # every row is a chunk of its own
+    assert "BroadcastHashJoin" not in plan_of(scanned)
+    assert "BroadcastHashJoin" not in plan_of(turns_of.join(scanned.select("run_id", "t", "x"), ["run_id", "t"]))
+    assert "BroadcastHashJoin" not in plan_of(turns.turn_windows(tr))
