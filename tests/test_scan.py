@@ -137,3 +137,11 @@ def test_tables_of_all_events_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan_of(scanned)
     assert "BroadcastHashJoin" not in plan_of(turns_of.join(scanned.select("run_id", "t", "x"), ["run_id", "t"]))
     assert "BroadcastHashJoin" not in plan_of(turns.turn_windows(tr))
+
+
+def test_run_blocks_are_planned_apart(spark):
+    from tracewright.operators import runfeatures
+    from tracewright.sources.traces import Traces
+
+    plan = plan_of(runfeatures.run_block(Traces.load(spark, "/root/testdata/sf0.001")))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
