@@ -9,6 +9,7 @@ from tracewright.functions.numbers import count_where
 from tracewright.functions.text import normalise
 from tracewright.operators.runfeatures import condition_streaks, state_changes
 from tracewright.operators.turns import with_roles
+from tracewright.operators.wordweights import WordWeights
 from tracewright.plans.gather import gather
 from tracewright.plans.scan import chunk_of, framed
 from tracewright.sources.traces import Traces
@@ -114,9 +115,12 @@ def tfidf(terms: DataFrame, key: str, n_docs: Column, min_df: int = 5, max_terms
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def word_tfidf(docs: DataFrame, key: str, text: str = "text", **kw) -> DataFrame:
+def word_tfidf(docs: DataFrame, key: str, text: str = "text", min_df: int = 5, max_terms: int | None = None) -> DataFrame:
+    """Weights of words and neighbouring pairs; terms are counted by packed keys unless only the most frequent are wanted."""
+    if max_terms is None:
+        return WordWeights(docs, key, text, min_df).rows()
     n = docs.select(F.count(F.lit(1))).scalar()
-    return tfidf(docs.select(key, F.explode(word_grams(F.col(text))).alias("term")), key, n, **kw)
+    return tfidf(docs.select(key, F.explode(word_grams(F.col(text))).alias("term")), key, n, min_df, max_terms)
 
 
 def char_tfidf(docs: DataFrame, key: str, text: str = "text", **kw) -> DataFrame:
