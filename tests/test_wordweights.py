@@ -58,3 +58,19 @@ def test_no_terms_no_rows(spark):
 def test_no_shuffle_of_terms(spark):
     plan = D.word_tfidf(corpus(spark), "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "term" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and "Generate" not in plan
+
+
+def test_vectors_are_never_there_all_at_once(spark, monkeypatch):
+    from tracewright.operators import heads
+
+    docs = corpus(spark).filter("doc_id < 200").dropDuplicates(["doc_id"])
+    labels = docs.select("doc_id", F.col("text").contains("w1").cast("double").alias("y")).filter("doc_id % 2 = 0")
+    made = []
+    keep = heads.written
+    monkeypatch.setattr(heads, "written", lambda df, name, *a, **kw: made.append((name, df.count())) or keep(df, name, *a, **kw))
+    w = WordWeights(docs, "doc_id", block_bytes=500, part_bytes=700)
+    answers = heads.text_classifier(w, labels, rounds=5, passes=3).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("p").alias("p")).collect()
+    known = {d for d, _ in table(w.rows())}
+    assert {r.doc_id for r in answers} == known and all(r.n == 2 and r.p == pytest.approx(1) for r in answers)
+    vectors = [n for name, n in made if name == "text_vectors"]
+    assert len(vectors) == 3 and sum(vectors) == len(known) and max(vectors) < len(known)
