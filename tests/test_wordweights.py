@@ -63,7 +63,7 @@ def test_no_shuffle_of_terms(spark):
 def test_vectors_are_never_there_all_at_once(spark, monkeypatch):
     from tracewright.operators import heads
 
-    docs = corpus(spark).filter("doc_id < 200").dropDuplicates(["doc_id"])
+    docs = corpus(spark).filter("doc_id < 200").dropDuplicates(["doc_id"]).repartition(5)  # a block for each
     labels = docs.select("doc_id", F.col("text").contains("w1").cast("double").alias("y")).filter("doc_id % 2 = 0")
     made = []
     keep = heads.written
