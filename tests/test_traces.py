@@ -324,3 +324,16 @@ def test_interleaved_matching_equals_a_replay(spark):
     finally:
         lifecycles.handoff_events = saved
     assert got == want
+
+
+def test_replay_holds_a_group_across_batches():
+    import pyarrow as pa
+
+    kinds = pa.schema([("run_id", pa.int64()), ("agent", pa.string()), ("c", pa.int64()), ("kind", pa.string()), ("t", pa.int64()), ("until", pa.int64()), ("pop_t", pa.int64())])
+    rows = [(1, "a1", 0, "pop", 0), (1, "a1", 0, "item", 1), (1, "a1", 0, "item", 2, 3), (1, "a1", 0, "pop", 4), (1, "a1", 1, "pop", 9), (1, "a2", 0, "item", 1), (2, "a2", 0, "pop", 5)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(kinds.names, (*r, None, None))) for r in rows], schema=kinds)
+    want = [(1, "a1", 0, "pop", 0, None, None), (1, "a1", 0, "ended", 2, 3, None), (1, "a1", 0, "taken", 1, None, 4), (1, "a1", 1, "pop", 9, None, None),
+            (1, "a2", 0, "item", 1, None, None), (2, "a2", 0, "pop", 5, None, None)]
+    for size in (1, 2, 3, len(rows)):
+        out = list(L._replayed(iter([batch.slice(i, size) for i in range(0, len(rows), size)])))
+        assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
