@@ -337,3 +337,16 @@ def test_replay_holds_a_group_across_batches():
     for size in (1, 2, 3, len(rows)):
         out = list(L._replayed(iter([batch.slice(i, size) for i in range(0, len(rows), size)])))
         assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_turn_counters_are_not_shuffled_one_by_one(spark):
+    import re
+
+    t = traces(spark, {1: [assign("a2", "x"), *pad(40), deliver("a2", "x")], 2: pad(3)}, artifacts=[(1, 5, "art_1", "a2", "x", "x", "h", "final")])
+    table = TU._turn_counters(t)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(run_id#\d+L?, k#", plan)
+    rows = {(r.run_id, r.t): r for r in table.collect()}
+    last = rows[(1, 41)]  # two chunks of 16 turns lie before it
+    assert len(rows) == 45 and (last.intent_count, last.assigns, last.deliveries, last.arts, last.arts_for_intent, last.authors) == (2, 1, 1, 1, 1, 2)
+    assert (last.pair_count, last.reverse_count, last.nodes, last.edges, rows[(1, 40)].pair_count) == (1, 1, 4, 3, 40)
