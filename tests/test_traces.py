@@ -7,6 +7,7 @@ from tracewright.functions.text import normalise, wait_target
 from tracewright.operators import evaluate as E
 from tracewright.operators import lifecycles as L
 from tracewright.operators import localize as K
+from tracewright.operators import matching as M
 from tracewright.operators import runfeatures as R
 from tracewright.operators import turns as TU
 from tracewright.operators import waits as W
@@ -277,6 +278,21 @@ def test_events_of_one_turn_keep_the_order_of_their_source(spark):
     assert got == list(enumerate(["start", "m", "l", "z", "b", "y", *late, "q", "p"]))
 
 
+def test_tables_of_run_files_and_pairs_of_agents_are_never_broadcast(spark):
+    import json
+
+    from tracewright.sources import runs as RF
+
+    messages = [{"t": t, "from": f"a{t}", "to": f"a{(t + 1) % 3}", "type": "inform", "intent": "x"} for t in range(3)]
+    raw = spark.createDataFrame([("r", "g", json.dumps(messages), "[]", "[]", "[]", "{}")],
+                                "run_id string, goal string, messages string, artifacts string, shared_state string, agents string, topology string")
+    tr = RF.traces_of_runs(RF.decode_runs(raw))
+    triangles = M.triangles(M.pair_edges(tr.plain_messages))
+    assert [tuple(r) for r in triangles.collect()] == [("r", 1.0)]
+    for df in (triangles, tr.artifacts.join(tr.agents, "run_id"), tr.state.join(tr.goals, "run_id"), tr.plain_messages.join(tr.topology, "run_id")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def replay(events):
     """Matching one event after the other: (t, last close, first close) of each assignment; events are (t, open?, sender, receiver, intent)."""
     by_intent, by_agent, first, last = {}, {}, {}, {}
