@@ -231,6 +231,24 @@ def test_open_assignments_count_to_the_end_of_the_run(spark):
     assert got == {0: (1, 1), 5: (2, 2)}
 
 
+def test_activity_is_counted_across_chunks_from_plain_messages(spark):
+    who = ["a1", "a2", "a3"]
+    run = []
+    for i in range(60):
+        talk = dict(sender=who[i % 3], receiver="a1", intent=["x", "y", ""][i // 3 % 3])
+        run.append(assign(who[i % 2], ["x", "", "y"][i % 3]) if i in (1, 15, 16, 20, 33) else deliver(who[0], "x") if i in (18, 49) else talk)
+    tr = traces(spark, {1: run})
+    stop = {r.t: r for r in L.matched(tr).collect()}
+    got = {r.t: (r.n_owner_msgs, r.n_other_msgs) for r in L.activity_counts(tr).collect()}
+    said = [(i, r.sender, r.intent) for i, r in enumerate(tr.plain_messages.orderBy("t").collect()) if r.type != "handoff"]
+    assert set(got) == set(stop) and {r.stop_t is None for r in stop.values()} == {True, False}
+    for t, r in stop.items():
+        between = [(s, x) for i, s, x in said if t < i < (r.stop_t or 60)]
+        other = sum(s != r.receiver and x not in ("", r.intent) for s, x in between) if r.intent else 0
+        assert got[t] == (sum(s == r.receiver for s, _ in between), other)
+    assert "messages" not in tr.__dict__  # words and goals were not worked out for it
+
+
 def test_run_files_with_text_ids_tools_and_targets(spark, tmp_path):
     import csv
     import json
