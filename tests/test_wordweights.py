@@ -74,3 +74,40 @@ def test_vectors_are_never_there_all_at_once(spark, monkeypatch):
     assert {r.doc_id for r in answers} == known and all(r.n == 2 and r.p == pytest.approx(1) for r in answers)
     vectors = [n for name, n in made if name == "text_vectors"]
     assert len(vectors) == 3 and sum(vectors) == len(known) and max(vectors) < len(known)
+
+
+def told(docs, classes):
+    """Labels that words tell, not always."""
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w.isin("w1", "w2", "w3")))
+    return docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(F.least(n, F.lit(classes - 1))).cast("double").alias("y")).filter("doc_id % 5 > 0")
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_classifier_equals_spark_ml(spark, classes):
+    """Near its optimum after 15 steps; the coefficients lie in several parts and the documents in many blocks."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    from tracewright.operators.heads import text_classifier
+
+    docs = corpus(spark).filter("doc_id < 200 and doc_id <> 7").repartition(5)
+    w = WordWeights(docs, "doc_id", block_bytes=3000, part_bytes=7000)
+    first, size = w.vocabulary()
+    vector = F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())
+    x = w.vectors(first).select("doc_id", vector("indices", "values").alias("features"))
+    model = LogisticRegression(family="multinomial", labelCol="y", maxIter=300, regParam=0.01, tol=1e-12).fit(x.join(told(docs, classes), "doc_id"))
+    want = {r.doc_id: r.p for r in model.transform(x).select("doc_id", vector_to_array("probability").alias("p")).collect()}
+    got = {(r.doc_id, r.c): r.p for r in text_classifier(w, told(docs, classes), rounds=15, passes=2).collect()}
+    assert len(got) == classes * len(want) > 300
+    assert max(abs(got[d, c] - p) for d, v in want.items() for c, p in enumerate(v)) < (0.02 if classes == 2 else 0.05)
+
+
+def test_classifier_has_two_classes_and_skips_rows_without_a_label(spark):
+    from tracewright.operators.heads import text_classifier
+
+    docs = corpus(spark)
+    labels = spark.createDataFrame([(d, None if d % 2 else 0.0) for d in range(50)] + [(999, 1.0)], "doc_id long, y double")
+    w = WordWeights(docs, "doc_id", block_bytes=500, part_bytes=700)
+    got = text_classifier(w, labels, rounds=3, passes=2).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("p").alias("p")).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in table(w.rows())} and all(r.n == 2 and r.p == pytest.approx(1) for r in got)
